@@ -213,6 +213,19 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size:
     return dealt.mapInArrow(lambda batches: _search(batches, radius), "a long, b long").distinct()
 
 
+def classes(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """fp, component_id: the smallest id in the class of each fingerprint.
+
+    `fps` has one row (doc_id, fp) per document and is read more than once.
+    """
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).checkpoint()
+    edges = links(reps.select("fp"), radius, blocks, tree_size)
+    found = connected_components(edges)  # node -> smallest fingerprint of its class
+    named = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return named.join(ids, "root").select("fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -223,10 +236,16 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, t
     """
     common.shared_dir(df.sparkSession)
     fps = fingerprints(df, id_col, text_col).checkpoint()
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).checkpoint()
-    edges = links(reps.select("fp"), radius, blocks, tree_size)
-    found = connected_components(edges)  # node -> smallest fingerprint of its class
-    named = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(classes(fps, radius, blocks, tree_size), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(df: DataFrame, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
+    """The rows of `df` whose id names their class: one document of each stays.
+
+    Rows with a null id stay (they cannot be told apart); of rows that repeat
+    an id, all stay if that id does.
+    """
+    common.shared_dir(df.sparkSession)
+    fps = fingerprints(df, id_col, text_col).checkpoint()
+    gone = fps.join(classes(fps), "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
