@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, quality, secrets, simhash, toxicity
+from . import bpe, licenses, lm, media, packing, pii, quality, secrets, simhash, toxicity
 from .common import documents
 
 
@@ -30,6 +30,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), quality.labels_of(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op7_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir))
 
@@ -48,9 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_audio_media": op4_audio_media,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_gru_scoring": op7_gru_scoring,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle()}
