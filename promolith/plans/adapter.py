@@ -48,3 +48,27 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("brand_raw"), F.col("p_type").alias("category_raw"), F.lit("").alias("package_raw"), F.concat(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" ₽")).alias("current_price_text"),
         F.concat((F.col("p_retailprice") * 1.2).cast("decimal(12,2)").cast("string"), F.lit(" ₽")).alias("old_price_text"), F.lit("2026-09-16T10:00:00+00:00").alias("collected_at"),
     )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as normalised events, some of them broken."""
+    rows, n = observations(spark, sf_dir), F.col("sequence")
+    kopecks = lambda c: F.round(F.col(c) * 100).cast("long")
+    return rows.select(
+        "canonical_product_id", F.when(n % 13 == 0, "").otherwise(F.col("name")).alias("name"), "shop",
+        F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 17 == 0, "").otherwise("+00:00")).alias("date"),
+        F.when(n % 7 == 0, kopecks("promotion_price")).otherwise(kopecks("original_price")).alias("original_price_kopecks"), kopecks("promotion_price").alias("promotion_price_kopecks"),
+        F.when(n % 11 == 0, "unknown").otherwise(F.col("match_status")).alias("match_status"), n.alias("sequence"),
+    )
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw products with an even key up to 400, as a confirmed catalog."""
+    from promolith.operators.identity import prepare
+
+    rows = prepare(raw_products(spark, sf_dir).filter("cast(source_product_id as long) % 2 = 0 and cast(source_product_id as long) <= 400"))
+    return rows.select(
+        F.concat(F.lit("prod_c"), "source_product_id").alias("canonical_product_id"), F.col("name_raw").alias("canonical_name"), "attributes",
+        F.when(F.col("source_product_id").cast("long") % 4 == 0, F.array("gtin")).otherwise(F.array().cast("array<string>")).alias("gtins"),
+        F.array(F.struct(F.lit("lenta").alias("shop"), F.concat(F.lit("catalog "), "name_raw").alias("name"))).alias("aliases"),
+    )

@@ -227,6 +227,15 @@ def _competitors(trusted: bool) -> str:
 _FAKE_OUT = f"""{_PS}, name, category, "group", n_price_states, n_episodes, price_first, price_last, {_rounded("d_last", 2)} AS discount_now, {_rounded("d_max", 2)} AS discount_max, suspicion_score, level, flags, notes,
     {_rounded("g1", 2)} AS jump_growth_pct, {_rounded("g2", 2)} AS rise_growth_pct"""
 
+_GTINS = """
+    body AS (SELECT p_partkey AS k, lpad(CAST(p_partkey + 400000000000 AS VARCHAR), 12, '0') AS b FROM part),
+    coded AS (SELECT k, b, CAST((10 - list_sum([CAST(b[i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END for i in range(1, 13)]) % 10) % 10 AS INTEGER) AS d FROM body),
+    gt AS (SELECT k, CASE WHEN k % 2 = 0 THEN b || CASE WHEN k % 3 = 0 THEN '0' ELSE CAST(d AS VARCHAR) END END AS raw, k % 2 = 0 AND (k % 3 <> 0 OR d = 0) AS valid FROM coded)"""
+
+_EVENTS = f"""{OBSERVATIONS},
+    bad AS (
+        SELECT *, sequence % 13 = 0 AS no_name, sequence % 17 = 0 AS no_zone, sequence % 7 = 0 OR round(original_price * 100) <= round(promotion_price * 100) AS no_discount, sequence % 11 = 0 AS no_status FROM obs)"""
+
 # name -> SQL; the columns are those of the query of the same name
 SQL: dict[str, str] = {
     "features": f"WITH {FEATURES} SELECT {_PS}, name, \"group\", category, {_rounded('discount_pct', 6)} AS discount_pct, day, weekday, sequence FROM feat",
@@ -271,6 +280,15 @@ SQL: dict[str, str] = {
     "run_summary": f"WITH {OBSERVATIONS} SELECT count(*) AS rows, count(DISTINCT canonical_product_id) AS products, count(DISTINCT shop) AS shops FROM obs",
     "dedup_final": f"WITH {PROMOTIONS} SELECT canonical_product_id, name, shop, date, original_price, promotion_price, match_status FROM latest",
     "latest_products": f"WITH {PROMOTIONS} SELECT canonical_product_id, name, shop, date, original_price, promotion_price, match_status FROM latest ORDER BY date DESC, canonical_product_id, name, shop, original_price, promotion_price, match_status LIMIT 100",
+    "gtin_check": f"WITH {_GTINS} SELECT k, CASE WHEN valid THEN lpad(raw, 14, '0') END AS gtin, CASE WHEN raw IS NULL THEN 'missing' WHEN valid THEN 'valid' ELSE 'invalid' END AS status FROM gt",
+    "make_id": "SELECT CAST(p_partkey AS VARCHAR) AS source_product_id, 'prod_' || substr(sha256('source:lenta:' || p_partkey), 1, 16) AS product_id FROM part",
+    "price_parse": "SELECT CAST(p_partkey AS VARCHAR) AS source_product_id, CAST(CAST(p_retailprice AS DECIMAL(12, 2)) * 100 AS BIGINT) AS current_kopecks, CAST(CAST(p_retailprice * 12e-1 AS DECIMAL(12, 2)) * 100 AS BIGINT) AS old_kopecks FROM part",
+    "csv_escape": f"WITH {OBSERVATIONS}, s AS (SELECT sequence, ['=', ' +', '-', '@', '', 'x='][sequence % 6 + 1] || shop AS v FROM obs) SELECT sequence, CASE WHEN ltrim(v)[1] IN ('=', '+', '-', '@') THEN chr(39) || v ELSE v END AS value FROM s",
+    "sink_valid": f"WITH {_EVENTS} SELECT sequence, canonical_product_id, name, date_trunc('second', date) AS date, original_price, promotion_price FROM bad WHERE NOT (no_name OR no_zone OR no_discount OR no_status)",
+    "sink_rejects": f"""WITH {_EVENTS} SELECT sequence, concat_ws(',', CASE WHEN no_zone THEN 'date_zone' END, CASE WHEN no_discount THEN 'discount' END, CASE WHEN no_status THEN 'match_status' END, CASE WHEN no_name THEN 'name_text' END) AS errors
+        FROM bad WHERE no_name OR no_zone OR no_discount OR no_status""",
+    "identity_gtin": "SELECT 'lenta:' || p_partkey AS source_key, 'prod_c' || p_partkey AS canonical_product_id, 'confirmed' AS status FROM part WHERE p_partkey % 4 = 0 AND p_partkey <= 400",
+    "blocked_pages": """SELECT page_id, coalesce(regexp_matches(lower(html), 'checking your browser before accessing|verify you are human to continue|/cdn-cgi/challenge-platform/|id="challenge-form"|<title[^>]*>\\s*(access denied|forbidden|too many requests|service unavailable|captcha|robot check|browser check|just a moment|attention required)'), false) AS blocked FROM pages""",
     "api_summary": f"WITH {PROMOTIONS} SELECT count(*) AS observations, count(DISTINCT canonical_product_id) AS products, count(DISTINCT shop) AS shops, {_API} FROM latest WHERE {_LAST30}",
     "api_by_shop": f"WITH {PROMOTIONS} SELECT shop, count(*) AS observations, count(DISTINCT canonical_product_id) AS products, {_API} FROM latest WHERE {_LAST30} GROUP BY shop",
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolith.operators import competitors, history, patterns, prep, report, scoring, shape
+from promolith.functions import text
+from promolith.operators import competitors, history, identity, pages, patterns, prep, report, scoring, shape
 from promolith.plans import adapter
-from promolith.sources import tables
+from promolith.sources import sink, tables
 
 TIMES = ("date", "first_seen", "last_seen", "started_at", "ended_at")
 
@@ -69,6 +70,70 @@ def _lift(spark, sf_dir):
     return patterns.weekday_lift(features_, history.promo_episodes(prep.build_states(features_)))
 
 
+def _gtins(spark, sf_dir):
+    """Every third code has its check digit replaced by 0."""
+    rows = adapter.raw_products(spark, sf_dir).withColumn("k", F.col("source_product_id").cast("long"))
+    return rows.withColumn("gtin_raw", F.when(F.col("k") % 3 == 0, F.concat(F.substring("gtin_raw", 1, 12), F.lit("0"))).otherwise(F.col("gtin_raw")))
+
+
+def gtin_check(spark, sf_dir):
+    return _gtins(spark, sf_dir).select("k", text.gtin14(F.col("gtin_raw")).alias("gtin"), text.gtin_status(F.col("gtin_raw")).alias("status"))
+
+
+def make_ids(spark, sf_dir):
+    rows = adapter.raw_products(spark, sf_dir)
+    return rows.select("source_product_id", text.make_id(F.concat(F.lit("source:"), "shop", F.lit(":"), "source_product_id")).alias("product_id"))
+
+
+def price_parse(spark, sf_dir):
+    rows = adapter.raw_products(spark, sf_dir)
+    return rows.select("source_product_id", text.price_kopecks(F.col("current_price_text")).alias("current_kopecks"), text.price_kopecks(F.col("old_price_text")).alias("old_kopecks"))
+
+
+def csv_escape(spark, sf_dir):
+    rows = adapter.observations(spark, sf_dir)
+    sign = F.element_at(F.array(*map(F.lit, ("=", " +", "-", "@", "", "x="))), (F.col("sequence") % 6 + 1).cast("int"))
+    return rows.select("sequence", tables.csv_value(F.concat(sign, F.col("shop"))).alias("value"))
+
+
+def sink_valid(spark, sf_dir):
+    rows = sink.check_events(adapter.events(spark, sf_dir)).filter(F.size("errors") == 0)
+    return _out(rows.select("sequence", "row.canonical_product_id", "row.name", "row.date", F.col("row.original_price").cast("double").alias("original_price"), F.col("row.promotion_price").cast("double").alias("promotion_price")))
+
+
+def sink_rejects(spark, sf_dir):
+    return sink.rejected_rows(adapter.events(spark, sf_dir)).select("sequence", F.array_join(F.array_sort("errors"), ",").alias("errors"))
+
+
+def identity_resolution(spark, sf_dir):
+    got = identity.resolve(adapter.raw_products(spark, sf_dir), adapter.catalog(spark, sf_dir))
+    return got.select("source_key", "canonical_product_id", "canonical_name", "method", F.round("score", 4).alias("score"), "status", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+def identity_gtin(spark, sf_dir):
+    """The rows that a catalog GTIN settles."""
+    got = identity.resolve(adapter.raw_products(spark, sf_dir), adapter.catalog(spark, sf_dir))
+    return got.filter("method = 'gtin'").select("source_key", "canonical_product_id", "status")
+
+
+def identity_events(spark, sf_dir):
+    return identity.normalized_events(adapter.raw_products(spark, sf_dir), adapter.catalog(spark, sf_dir))
+
+
+def block_keys(spark, sf_dir):
+    rows = identity.prepare(adapter.raw_products(spark, sf_dir)).withColumn("sizes", identity.size_keys("attributes.measurements"))
+    return rows.select("source_key", F.array_join(identity.block_keys(F.col("attributes"), F.col("sizes")), ",").alias("keys"))
+
+
+def blocked_pages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", pages.is_blocked(F.col("html")).alias("blocked"))
+
+
+def linked_products(spark, sf_dir):
+    return pages.linked_products(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features": features,
     "keyword_group": lambda s, d: _features(s, d).select("name", "shop", "group", "category").distinct(),
@@ -105,6 +170,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": lambda s, d: report.run_summary(adapter.observations(s, d)),
     "dedup_final": lambda s, d: _out(tables.latest_rows(adapter.promotions(s, d), "sequence")),
     "latest_products": lambda s, d: _out(tables.products_csv(adapter.promotions(s, d), "sequence")),
+    "gtin_check": gtin_check,
+    "make_id": make_ids,
+    "price_parse": price_parse,
+    "csv_escape": csv_escape,
+    "sink_valid": sink_valid,
+    "sink_rejects": sink_rejects,
+    "identity_resolution": identity_resolution,
+    "identity_gtin": identity_gtin,
+    "identity_events": identity_events,
+    "block_keys": block_keys,
+    "blocked_pages": blocked_pages,
+    "linked_products": linked_products,
     "api_summary": _api(tables.analytics_summary),
     "api_by_shop": _api(tables.analytics_by_shop),
 }
