@@ -190,3 +190,15 @@ def test_exact_quantile(spark):
 def test_weighted_median_is_the_lower_one(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 1.0), ("a", 10.0, 1.0), ("b", 3.0, 5.0), ("b", 1.0, 1.0)], "k string, v double, w double")
     assert {r.k: r.m for r in weighted_medians(df, ["k"], "v", "w", "m").collect()} == {"a": 2.0, "b": 3.0}
+
+
+def test_command(spark, tmp_path):
+    from promolith.__main__ import run_once
+
+    path = tmp_path / "p.csv"
+    head = "canonical_product_id,name,shop,date,original_price,promotion_price,match_status\n"
+    path.write_text(head + "p1,Сыр,a,2026-09-16 10:00:00,100,80,confirmed\n", encoding="utf-8")
+    got = run_once(spark, str(path), str(tmp_path / "out"))
+    assert got["observations"] == 1 and got["price_timeline"] == 1 and len(list((tmp_path / "out").iterdir())) == 14
+    path.write_text(head)
+    assert run_once(spark, str(path), str(tmp_path / "none")) == {} and not (tmp_path / "none").exists()
