@@ -19,6 +19,7 @@ import json
 import mmap
 import os
 import tempfile
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,13 +32,16 @@ from pyspark.sql import functions as F
 from . import common
 
 LEXICON_WORDS = 100_000  # bound on the broadcast lexicon
-MEMO_CHUNKS = 250_000  # bound on a worker's memo
+MEMO_CHUNKS = 400_000  # bound on a worker's memo
+MATRIX_WORD, MATRIX_ROWS = 32, 8192  # bytes and words of a matrix of merges
+TOGETHER = 2_000_000  # code points of the texts that are encoded together
 LONG_WORD = 128  # bytes from which merges use a heap
 COUNTED_AT_ONCE = 200_000  # words a task counts before it passes them on
 
 # White space as the tokenizer's patterns know it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the same where \s has that meaning
 _POINTS = frozenset(".,;:!?")
 _AFTER_SPACE = regex.compile(rf"\x20(?=$|[{SPACE}])")
 
@@ -74,6 +78,11 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(ids[left] << 20 | ids[right], rank)
             self.made.append(ids[left + right])
+        keys = np.array(sorted(self.rank), np.int64)
+        self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.array([self.rank[k] for k in keys.tolist()], np.int64), len(self.made))
+        self.first_ids, self.made_ids = np.array(self.byte_id, np.int64), np.array(self.made, np.int64)
+        self.told = {i: f"{i}," for i in ids.values()}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode("utf-8")
@@ -100,6 +109,65 @@ class Vocabulary:
                 ranks[at] = get(new << 20 | ids[at + 1], none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """`merge` of each word, a round of merges for all words at a time.
+
+        Words of like length share a matrix of ids and one of pair ranks; in a
+        round each row merges its best-ranked, leftmost pair.
+        """
+        out: list = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(sizes > MATRIX_WORD).tolist():
+            out[k] = self.merge(words[k])
+        for n in range(1, MATRIX_WORD + 1):
+            rows = np.flatnonzero(sizes == n)
+            for at in range(0, len(rows), MATRIX_ROWS):
+                mine = rows[at : at + MATRIX_ROWS]
+                raw = np.frombuffer(b"".join([words[k] for k in mine.tolist()]), np.uint8).reshape(-1, n)
+                for k, ids in zip(mine.tolist(), self._merge_matrix(self.first_ids[raw])):
+                    out[k] = ids
+        return out
+
+    def _ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, len(made) for none."""
+        k = np.searchsorted(self.pair_keys, pairs)
+        return np.where(self.pair_keys[k] == pairs, self.pair_ranks[k], len(self.made))
+
+    def _merge_matrix(self, ids: np.ndarray) -> list[list[int]]:
+        n, width = ids.shape
+        none = len(self.made)
+        size = np.full(n, width)
+        where = np.arange(n)  # rows of the result that are still merged
+        done = ids.copy()
+        ranks = self._ranks(ids[:, :-1] << 20 | ids[:, 1:]) if width > 1 else np.zeros((n, 0), np.int64)
+        while len(where) and ids.shape[1] > 1:
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(where))
+            best = ranks[row, at]
+            more = best < none
+            if not more.all():
+                stop = ~more
+                done[where[stop], : ids.shape[1]] = ids[stop]
+                ids, ranks, at, best, where = ids[more], ranks[more], at[more], best[more], where[more]
+                row = np.arange(len(where))
+                if not len(where):
+                    break
+            size[where] -= 1
+            # close the gap behind the merged pair
+            col = np.arange(ids.shape[1] - 1)
+            ids = np.where(col[None, :] <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[row, at] = self.made_ids[best]
+            ranks = np.where(col[None, :-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            left = at > 0
+            pairs = row[left], at[left] - 1
+            ranks[pairs] = self._ranks(ids[pairs] << 20 | ids[pairs[0], pairs[1] + 1])
+            # fill at a row's end is -1 and makes no pair
+            right = at < size[where] - 1
+            pairs = row[right], at[right]
+            ranks[pairs] = self._ranks(ids[pairs] << 20 | ids[pairs[0], pairs[1] + 1])
+        done[where, : ids.shape[1]] = ids
+        return [r[:k] for r, k in zip(done.tolist(), size.tolist())]
+
     def _merge_long(self, word: bytes) -> list[int]:
         """The same with a heap and links, for words where scans would be slow."""
         ids = [self.byte_id[b] for b in word]
@@ -204,10 +272,18 @@ class Transducer:
             at += 4 * n
         self.first, self.ends, self.byte, self.target, self.passed, self.starts, self.ids = parts
         self.root, self.n_states, self.n_words = n_states - 1, n_states, n_words
+        arrays = [np.frombuffer(p, "<u4") for p in parts]
+        source = np.repeat(np.arange(n_states, dtype=np.int64), np.diff(arrays[0].astype(np.int64)))
+        self.arc_keys = np.append(source << 8 | arrays[2], np.iinfo(np.int64).max)
+        self.arc_target, self.arc_passed = arrays[3], arrays[4]
+        self.final = arrays[1]
 
     @classmethod
-    def mapped(cls, path: str) -> Transducer:
-        with open(path, "rb") as f:
+    def mapped(cls, compiled: bytes) -> Transducer:
+        """Written to a file of this machine, mapped, and the name dropped."""
+        with tempfile.TemporaryFile(prefix="promolith-lexicon-") as f:
+            f.write(compiled)
+            f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def get(self, word: bytes) -> list[int] | None:
@@ -215,14 +291,9 @@ class Transducer:
         state, number = self.root, 0
         first, byte, target, passed = self.first, self.byte, self.target, self.passed
         for b in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if byte[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or byte[lo] != b:
+            end = first[state + 1]
+            lo = bisect_left(byte, b, first[state], end)
+            if lo == end or byte[lo] != b:
                 return None
             number += passed[lo]
             state = target[lo]
@@ -231,6 +302,33 @@ class Transducer:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """`get` of each word, one letter of all words at a time."""
+        out: list = [None] * len(words)
+        if not self.n_words:
+            return out
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        alive = np.flatnonzero(sizes > 0)
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        depth = 0
+        while len(alive):
+            key = state[alive] << 8 | raw[starts[alive] + depth]
+            k = np.searchsorted(self.arc_keys, key)
+            known = self.arc_keys[k] == key
+            alive, k = alive[known], k[known]
+            state[alive] = self.arc_target[k]
+            number[alive] += self.arc_passed[k]
+            depth += 1
+            ended = sizes[alive] == depth
+            for w in alive[ended][self.final[state[alive[ended]]] > 0].tolist():
+                n = int(number[w])
+                out[w] = self.ids[self.starts[n] : self.starts[n + 1]].tolist()
+            alive = alive[~ended]
+        return out
+
+
 # ------------------------------------------------------------------ encoding
 
 
@@ -306,57 +404,98 @@ class _Memo(dict):
     def __missing__(self, chunk: str) -> str:
         told = self.old.get(chunk)
         if told is None:
-            if chunk[-1:] in _POINTS and chunk[:-1].isalpha():
-                told = self[chunk[:-1]] + "".join(f"{i}," for i in self.encoder.chunk(chunk[-1]))
-            else:
-                told = "".join(f"{i}," for i in self.encoder.chunk(" " + chunk))
+            ids = self.encoder.vocabulary.told.__getitem__
+            told = "".join([ids(i) for w in words_in(chunk) for i in self.encoder.word(w)])
+        self.keep(chunk, told)
+        return told
+
+    def keep(self, chunk: str, told: str) -> None:
         if len(self) * 2 >= self.encoder.memo:
             self.old = dict(self)
             self.clear()
         self[chunk] = told
-        return told
 
 
-def encode_joined(text: str, encoder: Encoder, memo: dict) -> str:
-    """Decimal ids of the whole text, comma-joined."""
+def words_in(chunk: str) -> list[str]:
+    """Pre-tokens of a chunk that comes after a space."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in _POINTS and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return PRETOKEN.findall(" " + chunk)
+
+
+def cut(text: str, vocabulary: Vocabulary) -> list[tuple[bool, list[str]]]:
+    """The segments of a text, each a special token or its chunks."""
+    return [(special, [part] if special else chunks(part)) for special, part in segments(text, vocabulary)]
+
+
+def prime(texts: list[list[tuple[bool, list[str]]]], memo: _Memo) -> None:
+    """Put all chunks of the cut texts into the memo, unseen words at a stroke."""
+    need: set[str] = set()
+    for parts in texts:
+        for special, got in parts:
+            if not special:
+                need.update(got[1:])
+    need.difference_update(memo, memo.old)
+    parts_of = {c: words_in(c) for c in need}
+    words = list({w for ws in parts_of.values() for w in ws})
+    raw = [w.encode("utf-8") for w in words]
+    encoder = memo.encoder
+    ids = encoder.transducer.get_many(raw) if encoder.transducer is not None else [None] * len(raw)
+    unseen = [k for k, x in enumerate(ids) if x is None]
+    encoder.misses += len(unseen)
+    for k, x in zip(unseen, encoder.vocabulary.merge_many([raw[k] for k in unseen])):
+        ids[k] = x
+    told = encoder.vocabulary.told.__getitem__
+    text_of = {w: "".join(map(told, x)) for w, x in zip(words, ids)}
+    for c, ws in parts_of.items():
+        memo.keep(c, text_of[ws[0]] if len(ws) == 1 else "".join([text_of[w] for w in ws]))
+
+
+def together(texts: list[str], most: int = TOGETHER) -> Iterator[list[str]]:
+    """The texts in their order, in groups of about `most` code points."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def encode_cut(parts: list[tuple[bool, list[str]]], encoder: Encoder, memo: dict) -> str:
+    """Decimal ids of a cut text, comma-joined."""
     out = []
-    for special, part in segments(text, encoder.vocabulary):
+    for special, got in parts:
         if special:
-            out.append(f"{encoder.vocabulary.special[part]},")
+            out.append(f"{encoder.vocabulary.special[got[0]]},")
             continue
-        got = chunks(part)
         if got[0]:
-            out.append("".join(f"{i}," for i in encoder.chunk(got[0])))
+            out.append("".join([f"{i}," for i in encoder.chunk(got[0])]))
         out.append("".join(map(memo.__getitem__, got[1:])))
     return "".join(out)[:-1]
 
 
-@functools.lru_cache(1)
-def vocabulary_at(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-@functools.lru_cache(1)
-def _transducer(digest: str, holder) -> Transducer:
-    """The broadcast automaton as a file of this worker, mapped."""
-    path = os.path.join(tempfile.gettempdir(), f"promolith-lexicon-{digest}")
-    if not os.path.exists(path):
-        fd, temporary = tempfile.mkstemp(prefix="promolith-lexicon-")
-        with os.fdopen(fd, "wb") as f:
-            f.write(holder.value)
-        os.replace(temporary, path)
-    return Transducer.mapped(path)
+def encode_joined(text: str, encoder: Encoder, memo: dict) -> str:
+    """Decimal ids of the whole text, comma-joined."""
+    return encode_cut(cut(text, encoder.vocabulary), encoder, memo)
 
 
-class _Holder:
-    """A broadcast that does not count in a cache's key."""
+def encoded(texts: list[str], encoder: Encoder, memo: _Memo) -> Iterator[str]:
+    """`encode_joined` of each text."""
+    for group in together(texts):
+        parts = [cut(t, encoder.vocabulary) for t in group]
+        prime(parts, memo)
+        for p in parts:
+            yield encode_cut(p, encoder, memo)
 
-    def __init__(self, broadcast) -> None:
-        self.broadcast = broadcast
 
-    value = property(lambda self: self.broadcast.value)
-    __hash__ = lambda self: 0
-    __eq__ = lambda self, other: True
+@functools.lru_cache(1)
+def vocabulary_at(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 _STATE: dict = {}
@@ -365,7 +504,7 @@ _STATE: dict = {}
 def worker_encoder(path: str, digest: str, broadcast) -> tuple[Encoder, dict]:
     """This worker's encoder and memo; kept between its tasks."""
     if _STATE.get("key") != (path, digest):
-        encoder = Encoder(vocabulary_at(path), _transducer(digest, _Holder(broadcast)) if broadcast is not None else None)
+        encoder = Encoder(vocabulary_at(path), Transducer.mapped(broadcast.value))
         _STATE.update(key=(path, digest), encoder=encoder, memo=_Memo(encoder), bytes={str(i): b for i, b in encoder.vocabulary.bytes_of.items()})
     return _STATE["encoder"], _STATE["memo"]
 
@@ -375,14 +514,16 @@ def worker_encoder(path: str, digest: str, broadcast) -> tuple[Encoder, dict]:
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary = vocabulary_at(path)
-    counts: Counter = Counter()
+    counts: Counter = Counter()  # of pre-tokens
+    after: Counter = Counter()  # of chunks after a space
 
     def told():
-        words: Counter = Counter()
-        for chunk, n in counts.items():
-            for w in PRETOKEN.findall(chunk):
+        words = Counter(counts)
+        for chunk, n in after.items():
+            for w in words_in(chunk):
                 words[w] += n
         counts.clear()
+        after.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     for (texts,) in common.columns(batches):
@@ -390,9 +531,9 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             for special, part in segments(text, vocabulary):
                 if not special:
                     got = chunks(part)
-                    counts[got[0]] += 1
-                    counts.update([" " + c for c in got[1:]])
-        if len(counts) > COUNTED_AT_ONCE:
+                    counts.update(PRETOKEN.findall(got[0]))
+                    after.update(got[1:])
+        if len(counts) + len(after) > COUNTED_AT_ONCE:
             yield told()
     yield told()
 
@@ -407,14 +548,12 @@ def word_counts(df: DataFrame, vocabulary: str, text_col: str = common.TEXT) ->
 def build_lexicon(df: DataFrame, vocabulary: str | None = None, words: int = LEXICON_WORDS, text_col: str = common.TEXT) -> bytes:
     """The compiled transducer of the `words` most frequent pre-tokens.
 
-    Counts cover every document; only the bounded top (ties by word) comes to
-    the driver.  Pre-tokens of over 64 characters are left to the merges.
+    Counts cover every document; only the bounded top comes to the driver.  Pre-tokens of over 64 characters are left to the merges.
     """
     vocabulary = vocabulary or default_vocabulary()
-    top = word_counts(df, vocabulary, text_col).filter(F.length("word").between(1, 64)).orderBy(F.desc("n"), "word").limit(words)
-    merge = vocabulary_at(vocabulary).merge
-    raw = [r.word.encode("utf-8") for r in top.select("word").toLocalIterator()]
-    return compile_transducer((w, merge(w)) for w in raw)
+    top = common.most_frequent(word_counts(df, vocabulary, text_col).filter(F.length("word").between(1, 64)), "word", "n", words)
+    raw = [word.encode("utf-8") for word, _ in top]
+    return compile_transducer(zip(raw, vocabulary_at(vocabulary).merge_many(raw)))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, digest: str, broadcast) -> Iterator[pa.RecordBatch]:
@@ -423,8 +562,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, digest: str, broadcast
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for ids, texts in common.columns(batches):
         rows = []
-        for i, text in zip(ids, texts):
-            told = encode_joined(text, encoder, memo)
+        for i, told in zip(ids, encoded(texts, encoder, memo)):
             tokens = told.split(",") if told else []
             back = b"".join(map(bytes_of, tokens)).decode("utf-8", "replace")
             rows.append((i, len(tokens), sha(told.encode()), sha(back.encode("utf-8"))))
@@ -457,7 +595,7 @@ def encode_ids(df: DataFrame, vocabulary: str | None = None, words: int = LEXICO
     def run(batches):
         encoder, memo = worker_encoder(vocabulary, digest, broadcast)
         for ids, texts in common.columns(batches):
-            told = [encode_joined(t, encoder, memo) for t in texts]
+            told = encoded(texts, encoder, memo)
             rows = [[int(x) for x in s.split(",")] if s else [] for s in told]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

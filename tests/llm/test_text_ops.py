@@ -181,6 +181,16 @@ def test_long_words_merge_alike(tok):
         assert v.merge(word.encode()) == tok.encode(word, add_special_tokens=False).ids
 
 
+def test_many_words_at_a_time(docs):
+    """The matrix of merges and the lookups by letter, against one by one."""
+    v = bpe.vocabulary_at(bpe.default_vocabulary())
+    words = sorted({w.encode() for t in list(docs.values())[:60] for w in bpe.PRETOKEN.findall(t)}) + ["é".encode(), b"a", b"a" * 31, b"ab" * 16, b"ab" * 17, "日本語".encode()]
+    alone = [v.merge(w) for w in words]
+    assert v.merge_many(words) == alone and v.merge_many([]) == []
+    t = bpe.Transducer.mapped(bpe.compile_transducer(zip(words[::3], alone[::3])))
+    assert t.get_many(words) == [t.get(w) for w in words] == [a if k % 3 == 0 else None for k, a in enumerate(alone)]
+
+
 def test_transducer_is_minimal_and_exact():
     words = [b"a" + m + e for m in (b"b", b"c", b"dd") for e in (b"ing", b"ed", b"")]
     t = bpe.Transducer(bpe.compile_transducer((w, [n, n + 1]) for n, w in enumerate(words)))
