@@ -35,7 +35,7 @@ from . import bpe, common
 SIZE, BLOCK, GRID = 1024, 1 << 17, 16
 SENTENCE_COST, INNER_COST, WINDOW_COST = 1.0, 2.0, 16.0
 END_ID = 0
-_FREE_LENGTHS = (512, 256)
+_FREE_LENGTHS = (512,)
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(n.split()[0], pa.int64()) for n in RESULT.split(", ")])
@@ -48,30 +48,35 @@ def windows(points: list[int], costs: list[float], size: int = SIZE, window_cost
     `size` from the one before.
     """
     n = len(points)
+    place = np.array(points)
+    exact = []  # for each free length, the point just so far back, or -1
+    for length in free:
+        k = np.searchsorted(place, place - length)
+        exact.append(np.where(place[k] == place - length, k, -1).tolist())
     best, back = [0.0] * n, [0] * n
     queue: deque[int] = deque([0])
-    at = {points[0]: 0}
     base = [0.0] * n  # best + point, what the queue keeps ascending
     base[0] = float(points[0])
+    first = 0  # of the queue
     for j in range(1, n):
         p = points[j]
-        low = p - size
-        while points[queue[0]] < low:
+        while points[first] < p - size:
             queue.popleft()
-        i = queue[0]
+            first = queue[0]
+        i = first
         value = base[i] + size - p
-        for length in free:
-            k = at.get(p - length)
-            if k is not None and best[k] < value:
+        for back_at in exact:
+            k = back_at[j]
+            if k >= 0 and best[k] < value:
                 value, i = best[k], k
         value += costs[j] + window_cost
         best[j], back[j] = value, i
-        at[p] = j
         value += p
         base[j] = value
         while queue and base[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
+        first = queue[0]
     out = [n - 1]
     while out[-1]:
         out.append(back[out[-1]])
@@ -79,77 +84,25 @@ def windows(points: list[int], costs: list[float], size: int = SIZE, window_cost
 
 
 class _Ids:
-    """Chunks of text by number: ids, and how many of them end a sentence."""
+    """Ids of texts under a vocabulary, and where sentences end in them."""
 
-    def __init__(self, vocabulary: str, limit: int = bpe.MEMO_CHUNKS) -> None:
+    def __init__(self, vocabulary: str) -> None:
         import tiktoken
 
-        v = bpe.vocabulary_at(vocabulary)
+        self.vocabulary = v = bpe.vocabulary_at(vocabulary)
         ranks = {b: i for i, b in v.bytes_of.items() if i not in v.special.values()}
-        self.encode = tiktoken.Encoding("packing", pat_str=bpe.PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.vocabulary, self.limit = v, limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, "<u4")
-        self.at = np.zeros(1 << 18, np.int64)
-        self.cut = np.zeros(1 << 18, np.int32)
-        self.used = 0
-
-    def add(self, chunk: str) -> int:
-        ids = self.encode(chunk)
-        k = len(self.number)
-        self.number[chunk] = k
-        if k + 1 >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.at[k + 1] = self.used
-        self.cut[k] = _sentence_cut(chunk, len(ids), self.encode)
-        return k
+        self.encoding = tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(v.bytes_of) + 1, bool)  # tokens after which a sentence may end
+        self.ends[[i for b, i in ranks.items() if b"\n" in b or b[-1:] in (b".", b"!", b"?")]] = True
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text, and the sentence ends in them."""
-        parts, cuts, done = [], [], 0
-        for special, part in bpe.segments(text, self.vocabulary):
-            if special:
-                parts.append(np.array([self.vocabulary.special[part]], "<u4"))
-                done += 1
-                continue
-            first, *rest = bpe.chunks(part)
-            if len(self.number) > self.limit:
-                self.reset()
-            keys = [first] if first else []
-            keys += [" " + c for c in rest]
-            get, add = self.number.get, self.add
-            which = np.fromiter([k if (k := get(c)) is not None else add(c) for c in keys], np.int64, len(keys))
-            lo = self.at[which]
-            n = self.at[which + 1] - lo
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            parts.append(self.flat[np.repeat(lo - (ends - n), n) + np.arange(total)])
-            cut = self.cut[which]
-            has = cut > 0
-            cuts.append((ends - n)[has] + cut[has] + done)
-            done += total
-        if not parts:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        return np.concatenate(parts), np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-
-
-def _sentence_cut(chunk: str, n: int, encode) -> int:
-    """How many ids of a chunk come before its last sentence end; 0: none.
-
-    A sentence ends at a line break or after a final point.
-    """
-    if "\n" in chunk:
-        head = chunk[: chunk.rindex("\n") + 1]
-        return n if len(head) == len(chunk) else min(n, len(encode(head)))
-    return n if chunk[-1:] in ".!?" and chunk else 0
+        parts = [
+            np.array([self.vocabulary.special[part]], np.uint32) if special else self.encoding.encode_to_numpy(part, disallowed_special=())
+            for special, part in bpe.segments(text, self.vocabulary)
+        ]
+        ids = np.concatenate(parts).astype("<u4", copy=False) if parts else np.zeros(0, "<u4")
+        return ids, np.flatnonzero(self.ends[ids]) + 1
 
 
 @functools.lru_cache(1)
