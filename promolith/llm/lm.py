@@ -364,19 +364,18 @@ def score_texts(df: DataFrame, hot_words: int = HOT_WORDS, id_col: str = common.
     counts = common.stored(token_counts(train))
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n or 0, total.v
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(hot_words)
+    words = counts.filter(F.col("word") != END)
     ends = counts.filter(F.col("word") == END).first()
-    told = list(top.toLocalIterator())
-    hot = Hot([END.encode(), *(r.word.encode("utf-8") for r in told)], [ends.c if ends else 0, *(r.c for r in told)])
+    top = common.most_frequent(words, "word", "c", hot_words)
+    hot = Hot([END.encode(), *(w.encode("utf-8") for w, _ in top)], [ends.c if ends else 0, *(c for _, c in top)])
     net = fit(train, hot, n)
     inside = hot.counts[:KNOWN]
     log_other = math.log10(max(1.0, float(n + v + 1 - inside.sum() - len(inside))))
     broadcast = spark.sparkContext.broadcast((hot, net, log_other))
-    least = hot.counts[-1] if len(hot.counts) > 1 else 0
     scored = rows.select("doc_id", (fold == HELD).alias("held_out"), "text").mapInArrow(
         lambda b: _score(b, broadcast), "rid long, word string, n long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, model double"
     )
-    rare = counts.filter(F.col("c") <= F.lit(int(least)))  # all that is not broadcast, and a few ties
+    rare = words.filter(F.col("c") < top[-1][1]) if top else words  # all that is not broadcast
     joined = scored.join(rare, "word", "left")
     whole = joined.groupBy("rid").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "model")),
