@@ -7,6 +7,11 @@ a softmax over classes, then one over the words of the class.  Training is
 truncated backpropagation in numpy with the state carried from window to
 window; scoring carries it as well, so a document counts as a whole.
 
+The network learns from every training row.  A bounded number of rows gives the
+driver a common start; then all rows, dealt to shards of about SHARD_TOKENS
+tokens by their hash, are learnt from on the executors, and the shards' weights
+are averaged by their tokens.  Shards do not depend on how the input is split.
+
 Counts of a bounded number of frequent words are broadcast.  Rarer words are
 joined with the count table in a shuffle, so nothing that grows is broadcast.
 """
@@ -29,7 +34,8 @@ from . import common
 HIDDEN, CLASSES, CLASS_SIZE = 16, 32, 32
 KNOWN = CLASSES * CLASS_SIZE  # tokens that the network tells apart, end included
 HOT_WORDS = 1 << 17  # bound on the broadcast counts
-TRAIN_DOCS, TRAIN_TOKENS = 600, 300_000  # bounds on what the network is fitted on
+TRAIN_DOCS, TRAIN_TOKENS = 600, 300_000  # bounds on what the driver starts the network from
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 128, 0.005  # the pass over all training rows
 LANES, WINDOW, EPOCHS, RATE = 32, 20, 2, 0.01
 SCORE_LANES, SCORE_WINDOW, GROUP_TOKENS = 256, 16, 1_000_000
 COUNTED_AT_ONCE = 250_000
@@ -108,49 +114,54 @@ class GRU:
             states.append(h)
         flat, y = np.concatenate(states), targets.reshape(-1)
         use = np.flatnonzero(y >= 0)
+        use = use[np.argsort(y[use], kind="stable")]  # by class, and by word inside it
         f, y = flat[use], y[use]
         n = max(1, len(use))
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        logits = f @ self.p["c"] + self.p["cb"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        q = e / e.sum(axis=1, keepdims=True)
-        cls = y // CLASS_SIZE
-        row = np.arange(len(y))
-        loss = -np.log(q[row, cls] + 1e-30).sum()
-        q[row, cls] -= 1
-        q /= n
+        cls, row = y // CLASS_SIZE, np.arange(len(y))
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        q, loss = _softmax_error(f @ self.p["c"] + self.p["cb"], row, cls, n)
         grad["c"], grad["cb"] = f.T @ q, q.sum(axis=0)
         df = q @ self.p["c"].T
-        inside = np.flatnonzero(cls < CLASSES)
-        k, pos, fi = cls[inside], y[inside] % CLASS_SIZE, f[inside]
-        logits = np.einsum("nh,nhw->nw", fi, self.p["w"][k]) + self.p["wb"][k]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        q = e / e.sum(axis=1, keepdims=True)
-        row = np.arange(len(inside))
-        loss -= np.log(q[row, pos] + 1e-30).sum()
-        q[row, pos] -= 1
-        q /= n
-        np.add.at(grad["w"], k, fi[:, :, None] * q[:, None, :])
-        np.add.at(grad["wb"], k, q)
-        df[inside] += np.einsum("nw,nhw->nh", q, self.p["w"][k])
+        for k in range(CLASSES):
+            mine = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                q, more = _softmax_error(f[mine] @ self.p["w"][k] + self.p["wb"][k], row[: edges[k + 1] - edges[k]], y[mine] % CLASS_SIZE, n)
+                loss += more
+                grad["w"][k], grad["wb"][k] = f[mine].T @ q, q.sum(axis=0)
+                df[mine] += q @ self.p["w"][k].T
         d_out = np.zeros_like(flat)
         d_out[use] = df
         d_out = d_out.reshape(steps, lanes, HIDDEN)
         dh = np.zeros_like(h)
+        dx, dg = np.empty((steps, lanes, 3 * HIDDEN), flat.dtype), np.empty((steps, lanes, 3 * HIDDEN), flat.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, cand, g = kept[t]
             dh = dh + d_out[t]
-            dz = dh * (before - cand) * z * (1 - z)
             dn = dh * (1 - z) * (1 - cand * cand)
-            dr = dn * g[:, 2 * HIDDEN :] * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grad["x"], tokens[t], dx)
-            grad["u"] += before.T @ dg
-            dh = (dh * z + dg @ self.p["u"].T) * (tokens[t] != START)[:, None]
+            dx[t, :, :HIDDEN] = dh * (before - cand) * z * (1 - z)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * g[:, 2 * HIDDEN :] * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            dg[t] = dx[t]
+            dg[t, :, 2 * HIDDEN :] *= r
+            dh = (dh * z + dg[t] @ self.p["u"].T) * (tokens[t] != START)[:, None]
+        grad["u"] += np.concatenate([k[0] for k in kept]).T @ dg.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(tokens.reshape(-1), kind="stable")
+        seen, first = np.unique(tokens.reshape(-1)[order], return_index=True)
+        grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         return float(loss) / n, grad, h
 
 
+def _softmax_error(logits: np.ndarray, row: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Gradient by the logits of the loss over `n`, and the summed loss."""
+    q = np.exp(logits - logits.max(axis=1, keepdims=True))
+    q /= q.sum(axis=1, keepdims=True)
+    loss = -np.log(q[row, target] + 1e-30).sum()
+    q[row, target] -= 1
+    q /= n
+    return q, loss
+
+
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[list[list[int]], list[int]]:
     """Documents dealt to lanes, longest first to the emptiest; lane lengths, descending."""
     lanes = max(1, min(lanes, len(docs)))
@@ -186,16 +197,23 @@ def laid_out(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
 def train_network(docs: list[np.ndarray], counts: np.ndarray, other: float, epochs: int = EPOCHS, rate: float = RATE) -> GRU:
     """Adam over windows of the laid-out documents, the state carried on."""
     net = GRU(counts, other)
+    learn(net, docs, epochs, rate, LANES)
+    return net
+
+
+def learn(net: GRU, docs: list[np.ndarray], epochs: int, rate: float, lanes: int) -> None:
+    """Train `net` in place on `docs`."""
     if not docs:
-        return net
-    inputs, targets, _, _ = laid_out(docs, LANES)
+        return
+    inputs, targets, _, sizes = laid_out(docs, lanes)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     t = 0
     for epoch in range(epochs):
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for at in range(0, len(inputs), WINDOW):
-            _, grad, h = net.loss_gradient(inputs[at : at + WINDOW], targets[at : at + WINDOW], h)
+            a = int(np.searchsorted(-np.array(sizes), -at, side="left"))  # lanes longer than `at`
+            _, grad, h = net.loss_gradient(inputs[at : at + WINDOW, :a], targets[at : at + WINDOW, :a], h[:a])
             t += 1
             size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             scale = min(1.0, 1.0 / (size + 1e-9))
@@ -205,7 +223,6 @@ def train_network(docs: list[np.ndarray], counts: np.ndarray, other: float, epoc
                 m[k] += np.float32(0.1) * (g - m[k])
                 v[k] += np.float32(0.001) * (g * g - v[k])
                 net.p[k] -= (np.float32(step) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))).astype(np.float32)
-    return net
 
 
 def score_documents(net: GRU, docs: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
@@ -328,11 +345,69 @@ def _sample(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([known_ids(hot.ranks(words_of(t))).tolist() for t in texts], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
+    hot = broadcast.value
+    names = ["shard", "place", "doc_id", "tokens"]
+    for shards, places, ids, texts in common.columns(batches):
+        tokens = [known_ids(hot.ranks(words_of(t))).astype("<u2").tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((shards, places, ids, tokens), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+
+
+def _learn(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
+    """For each run of rows with one shard: its weights times its tokens, and its tokens."""
+    docs: list[np.ndarray] = []
+    now = None
+
+    def told():
+        net = GRU.__new__(GRU)
+        net.p = {k: v.copy() for k, v in broadcast.value.items()}
+        learn(net, docs, 1, SHARD_RATE, SHARD_LANES)
+        n = sum(map(len, docs))
+        docs.clear()
+        weights = np.concatenate([net.p[k].reshape(-1) for k in sorted(net.p)]).astype(float) * n
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weights], pa.list_(pa.float64()))], names=["n", "weights"])
+
+    for shards, tokens in common.columns(batches):
+        for shard, one in zip(shards, tokens):
+            if docs and shard != now:
+                yield told()
+            now = shard
+            docs.append(np.frombuffer(one, "<u2").astype(np.int32))
+    if docs:
+        yield told()
+
+
+def learn_all(net: GRU, train: DataFrame, broadcast, total: int) -> GRU:
+    """`net` after a pass over all training rows (doc_id, text), `total` tokens.
+
+    Each shard is learnt from by itself, from the weights of `net`; the result
+    is the mean of their weights, each shard counting by its tokens.
+    """
+    spark = train.sparkSession
+    shards = max(1, math.ceil(total / SHARD_TOKENS))
+    place = F.xxhash64("doc_id", "text")
+    rows = train.filter("doc_id is not null").select(F.pmod(place, F.lit(shards)).cast("long").alias("shard"), place.alias("place"), "doc_id", "text")
+    dealt = rows.mapInArrow(lambda b: _dealt(b, broadcast), "shard long, place long, doc_id long, tokens binary")
+    start = spark.sparkContext.broadcast(net.p)
+    ordered = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "doc_id").select("shard", "tokens")
+    learnt = ordered.mapInArrow(lambda b: _learn(b, start), "n long, weights array<double>")
+    summed = learnt.select("n", F.posexplode("weights").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
+    if len(summed):
+        mean, at = np.zeros(len(summed)), 0
+        mean[summed["at"].to_numpy()] = summed["w"].to_numpy() / summed["n"].to_numpy()
+        for k in sorted(net.p):
+            size = net.p[k].size
+            net.p[k] = mean[at : at + size].astype(np.float32).reshape(net.p[k].shape)
+            at += size
+    return net
+
+
 def fit(train: DataFrame, hot: Hot, total: int) -> GRU:
-    """The network from a bounded number of training rows (doc_id, text).
+    """The network from all training rows (doc_id, text) with an id.
 
-    Rows are taken by the hash of their id, up to TRAIN_DOCS of them and about
-    TRAIN_TOKENS tokens; its output starts from the counts of the whole table.
+    Its output starts from the counts of the whole table, and its weights from
+    rows taken by the hash of their id, up to TRAIN_DOCS of them and about
+    TRAIN_TOKENS tokens; `learn_all` then goes over every row.
     """
     spark = train.sparkSession
     chosen = train.filter("doc_id is not null").select(F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(TRAIN_DOCS)
@@ -346,7 +421,7 @@ def fit(train: DataFrame, hot: Hot, total: int) -> GRU:
             n += len(r.tokens)
     counts = np.zeros(KNOWN)
     counts[: len(hot.counts[:KNOWN])] = hot.counts[:KNOWN]
-    return train_network(docs, counts, total - counts.sum())
+    return learn_all(train_network(docs, counts, total - counts.sum()), train, broadcast, total)
 
 
 def score_texts(df: DataFrame, hot_words: int = HOT_WORDS, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:

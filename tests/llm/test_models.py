@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import edge
 from promolith.llm import common, licenses, lm, media, pii, quality, toxicity
@@ -335,6 +336,20 @@ def test_base_score_and_gain(spark, sf_dir, docs):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+def test_network_learns_from_every_row(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000, raising=False)
+    rows = [(i, f"one two three word{i % 5}") for i in range(lm.TRAIN_DOCS + 50)]
+    frame = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    last = frame(rows).orderBy(F.xxhash64("doc_id").desc()).first().doc_id  # not in the sample of the start
+    words = [b" ", b"one", b"two", b"three", *(b"word%d" % k for k in range(5))]
+    hot = lm.Hot(words, [len(rows)] * 4 + [len(rows) // 5] * 5)
+    total = 5 * len(rows)
+    all_rows, again = lm.fit(frame(rows), hot, total), lm.fit(frame(rows).repartition(7), hot, total)
+    other = lm.fit(frame([(i, "three two one " * 50 if i == last else t) for i, t in rows]), hot, total)
+    assert all(np.allclose(all_rows.p[k], again.p[k], atol=1e-6) for k in all_rows.p)
+    assert not all(np.allclose(all_rows.p[k], other.p[k], atol=1e-6) for k in all_rows.p)
+
+
 # --------------------------------------------------------------- edge cases
 
 
