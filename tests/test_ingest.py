@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from promolith.functions import extract, identity as text
 from promolith.functions.text import gtin14, price_kopecks
 from promolith.operators import identity, pages
+from promolith.plans import adapter
 from promolith.sources import catalog as catalogs
 from promolith.sources import sink
 from promolith.streaming import ingest
@@ -184,3 +185,18 @@ def test_pending_cards_over_batches(spark, tmp_path):
     q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: got.update({r.source_key: tuple(r) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert got == want
+
+
+def test_the_catalog_is_the_whole_part_table(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    shelf = adapter.catalog(spark, sf_dir).cache()
+    assert {r.canonical_product_id for r in shelf.collect()} == {f"prod_c{r.p_partkey}" for r in part.collect()}
+
+
+def test_identity_over_a_whole_catalog(spark, sf_dir):
+    """Blocks split by brand: the candidates without a conflict are those of the plain blocks."""
+    shelf = adapter.catalog(spark, sf_dir)
+    rows = identity.prepare(adapter.raw_products(spark, sf_dir).withColumn("rid", F.col("source_product_id").cast("long")).withColumn("brand_raw", F.when(F.col("rid") % 9 > 0, F.col("brand_raw")).otherwise("")))
+    told = lambda **kw: {(r.rid, r.c.canonical_product_id, r.c.score) for r in identity.match_candidates(rows, shelf, 10_000, **kw).select("rid", F.explode("candidates").alias("c")).filter("size(c.conflicts) = 0").collect()}
+    plain = told()
+    assert plain and told(other_brands=False) == plain
