@@ -65,6 +65,11 @@ TEXTS = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
 }
+# BSD-3-Clause is the text of BSD-2-Clause with one more condition before the disclaimer.
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace(
+    "THIS SOFTWARE IS PROVIDED",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED",
+)
 
 
 def bigrams_of(text: str) -> list[str]:

@@ -282,6 +282,14 @@ def test_bounds_prune_nothing():
         assert (min(reach), max(reach)) == (lo, hi)
 
 
+def test_a_full_bsd_3_text_is_not_bsd_2(spark):
+    two = licenses.TEXTS["BSD-2-Clause"]
+    at = two.index("THIS SOFTWARE IS")
+    three = f"{two[:at]}3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {two[at:]}"
+    df = spark.createDataFrame([(2, two), (3, three)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(df).collect()} == {2: "BSD-2-Clause", 3: "BSD-3-Clause"}
+
+
 # ----------------------------------------------------------- language model
 
 
