@@ -2,8 +2,8 @@
 
 Words are cut into runs of word and of other characters; unigrams and bigrams
 of these pieces are hashed into two ranges of buckets.  Two multinomials are
-counted: the trusted target over labelled good documents, the raw corpus over
-every document.  A document's score is the mean of log p_target - log p_raw over
+counted: the trusted target over all labelled good documents, the raw corpus
+over every document.  A document's score is the mean of log p_target - log p_raw over
 its n-grams; it is kept if the score reaches a fixed threshold.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 14  # of unigrams, and as many of bigrams
-TRUSTED_ROWS = 20_000  # bound on the labelled rows of the target
 THRESHOLD = -0.5
 MEMO_WORDS = 200_000
 
@@ -118,10 +117,10 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw_n[some]), pa.array(good_n[some])], names=["bucket", "raw", "good"])
 
 
-def trusted_labels(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_id of at most `rows` rows labelled good (every label of the id is 1)."""
+def trusted_labels(labels: DataFrame) -> DataFrame:
+    """doc_id of every row labelled good (every label of the id is 1)."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    return good.select(F.col("doc_id").alias("trusted_id")).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(rows)
+    return good.select(F.col("doc_id").alias("trusted_id"))
 
 
 def ratio_table(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = common.ID, text_col: str = common.TEXT) -> np.ndarray:
@@ -131,7 +130,7 @@ def ratio_table(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_co
     trusted document all ratios are zero, so the base rules alone decide.
     """
     common.ship(df.sparkSession)
-    marked = common.id_text(df, id_col, text_col).join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = common.id_text(df, id_col, text_col).join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     counted = marked.select("text", F.col("trusted_id").isNotNull().alias("good")).mapInArrow(lambda b: _count(b, buckets), "bucket int, raw long, good long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw_n, good_n = np.zeros((2, buckets)), np.zeros((2, buckets))

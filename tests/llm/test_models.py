@@ -258,6 +258,12 @@ def test_audio_tiles(spark, docs):
     assert {r.doc_id for r in rows} == {i for i, _ in list(docs.items())[:10]}
 
 
+def test_every_good_label_is_trusted(spark):
+    many = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    again = many.filter("doc_id < 10").withColumn("quality", F.lit(0))
+    assert quality.trusted_labels(many.unionByName(again)).count() == 24_990
+
+
 # ----------------------------------------------------------------- licences
 
 
