@@ -240,12 +240,13 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, t
 
 
 def keep_representatives(df: DataFrame, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
-    """The rows of `df` whose id names their class: one document of each stays.
+    """One row of each class: the smallest id, of its rows any one.
 
-    Rows with a null id stay (they cannot be told apart); of rows that repeat
-    an id, all stay if that id does.
+    A row with a null id stays only where its class has no id.
     """
-    common.shared_dir(df.sparkSession)
-    fps = fingerprints(df, id_col, text_col).checkpoint()
-    gone = fps.join(classes(fps), "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    rows = common.stored(df.withColumn("__row", F.monotonically_increasing_id()))  # stored, so that the keys stay
+    fps = fingerprints(rows, "__row", text_col).withColumnRenamed("doc_id", "__row").checkpoint()
+    named = classes(fps.withColumnRenamed("__row", "doc_id"))
+    keys = rows.select("__row", F.col(id_col).cast("long").alias("id")).join(fps, "__row").join(named, "fp")
+    first = keys.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*df.columns)

@@ -27,3 +27,11 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in pieces} == texts.keys()
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces) or {r.doc_id for r in whole} == texts.keys()
+
+
+def test_one_row_of_each_near_duplicate_class_stays(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta theta " * 4, "quick brown foxes jump over lazy dogs today " * 4, "rain falls mainly on the wide spanish plain " * 4)
+    rows = [(1, one), (1, one), (2, one), (2, two), (None, two), (None, three), (None, three)]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[1]) == [(1, one), (2, two), (None, three)]
