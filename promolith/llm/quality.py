@@ -80,11 +80,20 @@ class Words:
 _WORDS = Words()
 
 
+def window_keys(which: np.ndarray) -> np.ndarray:
+    """A number for each 3-word window, equal for equal windows only."""
+    if which.max() < 1 << 21:
+        return (which[:-2] << 42) | (which[1:-1] << 21) | which[2:]
+    # more words than 21 bits can tell: number the pairs first
+    _, pair = np.unique((which[:-1] << 32) | which[1:], return_inverse=True)
+    return (pair[:-1].astype(np.int64) << 32) | which[2:]
+
+
 def repeated(which: np.ndarray) -> int:
     """Words that lie in a 3-word window found twice or more."""
     if len(which) < 4:
         return 0
-    key = (which[:-2] << 42) | (which[1:-1] << 21) | which[2:]
+    key = window_keys(which)
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     again = np.zeros(len(key), bool)
@@ -142,12 +151,16 @@ def ratio_table(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_co
     return (log_p(good_n) - log_p(raw_n)).reshape(-1)
 
 
-def score(which: np.ndarray, table: np.ndarray) -> float:
+def score(words: Words, which: np.ndarray, table: np.ndarray) -> float:
     """Mean ratio over the n-grams; 0 without any."""
-    b = _WORDS.buckets(which, len(table) // 2)
+    b = words.buckets(which, len(table) // 2)
     return float(table[b].sum() / len(b)) if len(b) else 0.0
 
 
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
+
+
 def _judge(batches: Iterator[pa.RecordBatch], table, threshold: float) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("llr", pa.float64()), ("kept", pa.bool_())])
     for ids, texts in common.columns(batches):
@@ -156,8 +169,8 @@ def _judge(batches: Iterator[pa.RecordBatch], table, threshold: float) -> Iterat
             raw = text.encode("utf-8")
             which = _WORDS.of(raw.split())
             counts = base_counts(text, raw, which)
-            failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-            llr = score(which, table.value)
+            failed = base_failed(counts[0], counts[4])
+            llr = score(_WORDS, which, table.value)
             rows.append((i, *counts, failed, llr, not failed and llr >= threshold))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -173,23 +186,26 @@ def judge_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     return common.id_text(df, id_col, text_col).mapInArrow(lambda b: _judge(b, table, threshold), RESULT)
 
 
+def _keep(batches: Iterator[pa.RecordBatch], table, threshold: float, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text (column `at`) is kept.  One numbering for words and scores: this module's."""
+    for batch in batches:
+        kept = []
+        for text in batch.column(at):
+            which = _WORDS.of((text.as_py() or "").encode("utf-8").split())
+            kept.append(not base_failed(len(which), repeated(which)) and score(_WORDS, which, table.value) >= threshold)
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = common.TEXT, id_col: str = common.ID) -> DataFrame:
-    """The rows of `df` that `judge_quality` keeps, whole and without a join."""
+    """The rows of `df` that `judge_quality` keeps, whole and without a join.
+
+    Null and empty texts go, as they fail the base rules; rows with a null id
+    and repeated rows are each judged by their text.
+    """
     spark = df.sparkSession
     table = spark.sparkContext.broadcast(ratio_table(df, trusted_labels(labels), id_col=id_col, text_col=text_col))
     at = df.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for text in batch.column(at):
-                raw = (text.as_py() or "").encode("utf-8")
-                which = _WORDS.of(raw.split())
-                n, r = len(which), repeated(which)
-                kept.append(n >= MIN_WORDS and 100 * r <= MAX_REPEAT_PERCENT * n and score(which, table.value) >= threshold)
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda b: _keep(b, table, threshold, at), df.schema)
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:

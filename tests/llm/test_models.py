@@ -97,6 +97,37 @@ def test_repeated_windows():
         words = rng.integers(0, 4, rng.integers(0, 30))
         text = " ".join(map(str, words))
         assert quality.repeated(words) == brute_counts(text)[4]
+        # numbers past 21 bits, which would run into each other if packed
+        assert quality.repeated(words * ((1 << 21) + 1)) == brute_counts(text)[4]
+    unlike = np.array([1 << 21, 5, 6, 7, 0, 5 + 1, 6, 7])
+    assert quality.repeated(unlike) == 0
+
+
+def test_kept_rows_are_those_of_the_judgement(spark, docs, labels):
+    """Over many partitions, in workers that have numbered other texts before."""
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(12)
+    want = {r.doc_id for r in quality.judge_quality(table, labels).filter("kept").collect()}
+    assert 0 < len(want) < len(docs)
+    for k in range(3):
+        other = spark.createDataFrame([(i, t[k:][::-1]) for i, t in docs.items()], "doc_id long, text string").repartition(5 + k)
+        quality.judge_quality(other, labels).count()
+        assert {r.doc_id for r in quality.keep_good(table, labels).collect()} == want
+
+
+def test_a_full_word_memo_changes_nothing(docs, monkeypatch):
+    class Told:
+        value = np.random.default_rng(0).standard_normal(2 * quality.BUCKETS)
+
+    texts = [t for t in docs.values()][:60] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], names=["doc_id", "text"])
+    told = []
+    for limit in (3, 200, 1 << 20):
+        monkeypatch.setattr(quality, "_WORDS", quality.Words(limit))
+        judged = next(quality._judge(iter([batch]), Told, 0.0)).to_pylist()
+        kept = next(quality._keep(iter([batch]), Told, 0.0, 1)).column(0).to_pylist()
+        assert kept == [r["doc_id"] for r in judged if r["kept"]]
+        told.append([(r["doc_id"], round(r["llr"], 9), r["kept"]) for r in judged])
+    assert told[0] == told[1] == told[2]
 
 
 # ----------------------------------------------------------------- toxicity
