@@ -5,9 +5,14 @@ words (pre-tokens) most frequent in the corpus are compiled, with their ids,
 into an automaton that shares prefixes and suffixes (Daciuk et al. 2000) and
 whose arcs carry counts that sum to a word's number: a transducer from words to
 rows of an id table.  The compiled form is a flat file that every worker maps
-into memory.  Words outside it are merged exactly.  A bounded memo of chunks
-(what stands between two spaces) spares most walks; results do not depend on
-the lexicon or on the memo.
+into memory.  Words outside it are merged exactly; results do not depend on the
+lexicon.
+
+Texts are encoded in groups of bounded size.  A group's new chunks (what stands
+between two spaces) are cut into words, their distinct words walk through the
+transducer a letter of all at a time, the unseen ones are merged a round of
+merges of all at a time, and ids are put together by position in numpy.  A long
+text is cut where a pre-token must start, so no group grows with a text.
 """
 
 from __future__ import annotations
@@ -32,9 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LEXICON_WORDS = 100_000  # bound on the broadcast lexicon
-MEMO_CHUNKS = 400_000  # bound on a worker's memo
+MEMO_CHUNKS = 400_000  # chunks after which a worker's memo starts anew
 MATRIX_WORD, MATRIX_ROWS = 32, 8192  # bytes and words of a matrix of merges
-TOGETHER = 2_000_000  # code points of the texts that are encoded together
+TOGETHER, PIECE = 4_000_000, 500_000  # code points that are encoded together, and of a piece of a long text
 LONG_WORD = 128  # bytes from which merges use a heap
 COUNTED_AT_ONCE = 200_000  # words a task counts before it passes them on
 
@@ -43,7 +48,7 @@ SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the same where \s has that meaning
 _POINTS = frozenset(".,;:!?")
-_AFTER_SPACE = regex.compile(rf"\x20(?=$|[{SPACE}])")
+_CUT = regex.compile(rf"\x20(?=[^{SPACE}])")  # a pre-token starts here
 
 
 def default_vocabulary() -> str:
@@ -59,6 +64,65 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `sizes` of them, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Numbers:
+    """A number for each key, looked up many at a time; `none` for other keys.
+
+    Open addressing with linear probing; keys are unlike and not negative.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int) -> None:
+        self.none, self.shift = none, np.uint64(64 - max(4, int(len(keys) * 8).bit_length()))
+        n = 1 << (64 - int(self.shift))
+        self.mask = n - 1
+        self.keys, self.values = np.full(n, -1, np.int64), np.full(n, none, np.int32)
+        keys, values = keys.astype(np.int64), values.astype(np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.keys[slot[first]] < 0]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, slot = keys[left], values[left], slot[left] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], np.int32(self.none))
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            slot[more] = slot[more] + 1 & self.mask
+            found = self.keys[slot[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.values[slot[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+
+class Strings:
+    """Byte strings by number, joined many at a time."""
+
+    def __init__(self, strings: dict[int, bytes]) -> None:
+        each = [strings.get(i, b"") for i in range(max(strings, default=-1) + 1)]
+        self.sizes = np.fromiter(map(len, each), np.int64, len(each))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+
+    def join(self, numbers: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The strings of the numbers in a row, and where each ends."""
+        sizes = self.sizes[numbers]
+        return memoryview(self.flat[ranges(self.starts[numbers], sizes)]), np.cumsum(sizes)
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of one vocabulary file."""
 
@@ -78,15 +142,17 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(ids[left] << 20 | ids[right], rank)
             self.made.append(ids[left + right])
-        keys = np.array(sorted(self.rank), np.int64)
-        self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
-        self.pair_ranks = np.append(np.array([self.rank[k] for k in keys.tolist()], np.int64), len(self.made))
-        self.first_ids, self.made_ids = np.array(self.byte_id, np.int64), np.array(self.made, np.int64)
-        self.told = {i: f"{i}," for i in ids.values()}
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        self.pair_ranks = Numbers(pairs, np.fromiter(self.rank.values(), np.int64, len(pairs)), len(self.made))
+        self.first_ids, self.made_ids = np.array(self.byte_id, np.int32), np.array(self.made, np.int32)
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode("utf-8")
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        first = self.first_ids.astype(np.int64)
+        self.byte_ranks = self.pair_ranks.get((first[:, None] << 20 | first).reshape(-1)).astype(np.int32)  # of the pairs of bytes
+        self.told = Strings({i: b",%d" % i for i in ids.values()} | {i: b",%d" % i for i in self.special.values()})
+        self.decoded = Strings(self.bytes_of)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the best-ranked pair, leftmost first, until none."""
@@ -109,64 +175,71 @@ class Vocabulary:
                 ranks[at] = get(new << 20 | ids[at + 1], none)
         return ids
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """`merge` of each word, a round of merges for all words at a time.
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`merge` of each word: all ids, and where each word's start and how many they are.
 
-        Words of like length share a matrix of ids and one of pair ranks; in a
-        round each row merges its best-ranked, leftmost pair.
+        Words of like length share a matrix of ids (a column a word) and one of
+        pair ranks; in a round each column merges its best-ranked, leftmost pair.
         """
-        out: list = [None] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for k in np.flatnonzero(sizes > MATRIX_WORD).tolist():
-            out[k] = self.merge(words[k])
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        flat, at = [], 0
+
+        def add(which: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal at
+            starts[which] = at + np.arange(len(which)) * len(ids)
+            sizes[which] = len(ids)
+            flat.append(ids.T.reshape(-1))
+            at += ids.size
+
+        for k in np.flatnonzero(lengths > MATRIX_WORD).tolist():
+            add(np.array([k]), np.array(self.merge(words[k]), np.int32)[:, None])
         for n in range(1, MATRIX_WORD + 1):
-            rows = np.flatnonzero(sizes == n)
-            for at in range(0, len(rows), MATRIX_ROWS):
-                mine = rows[at : at + MATRIX_ROWS]
+            rows = np.flatnonzero(lengths == n)
+            for lo in range(0, len(rows), MATRIX_ROWS):
+                mine = rows[lo : lo + MATRIX_ROWS]
                 raw = np.frombuffer(b"".join([words[k] for k in mine.tolist()]), np.uint8).reshape(-1, n)
-                for k, ids in zip(mine.tolist(), self._merge_matrix(self.first_ids[raw])):
-                    out[k] = ids
-        return out
+                for which, ids in self._merge_matrix(raw.T.astype(np.int32)):
+                    add(mine[which], ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), starts, sizes
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """`merge` of each word."""
+        flat, starts, sizes = self.merge_flat(words)
+        return [flat[a : a + n].tolist() for a, n in zip(starts.tolist(), sizes.tolist())]
 
-    def _ranks(self, pairs: np.ndarray) -> np.ndarray:
-        """Rank of each pair of ids, len(made) for none."""
-        k = np.searchsorted(self.pair_keys, pairs)
-        return np.where(self.pair_keys[k] == pairs, self.pair_ranks[k], len(self.made))
+    def _merge_matrix(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(columns, their ids) of a matrix of bytes, letter by word, as columns are done.
 
-    def _merge_matrix(self, ids: np.ndarray) -> list[list[int]]:
-        n, width = ids.shape
+        Each column left merges one pair a round, so all have the same length.
+        A pair is known by rank * 64 + place: the least is the best, leftmost one.
+        """
         none = len(self.made)
-        size = np.full(n, width)
-        where = np.arange(n)  # rows of the result that are still merged
-        done = ids.copy()
-        ranks = self._ranks(ids[:, :-1] << 20 | ids[:, 1:]) if width > 1 else np.zeros((n, 0), np.int64)
-        while len(where) and ids.shape[1] > 1:
-            at = ranks.argmin(axis=1)
-            row = np.arange(len(where))
-            best = ranks[row, at]
-            more = best < none
-            if not more.all():
-                stop = ~more
-                done[where[stop], : ids.shape[1]] = ids[stop]
-                ids, ranks, at, best, where = ids[more], ranks[more], at[more], best[more], where[more]
-                row = np.arange(len(where))
-                if not len(where):
-                    break
-            size[where] -= 1
-            # close the gap behind the merged pair
-            col = np.arange(ids.shape[1] - 1)
-            ids = np.where(col[None, :] <= at[:, None], ids[:, :-1], ids[:, 1:])
-            ids[row, at] = self.made_ids[best]
-            ranks = np.where(col[None, :-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
-            left = at > 0
-            pairs = row[left], at[left] - 1
-            ranks[pairs] = self._ranks(ids[pairs] << 20 | ids[pairs[0], pairs[1] + 1])
-            # fill at a row's end is -1 and makes no pair
-            right = at < size[where] - 1
-            pairs = row[right], at[right]
-            ranks[pairs] = self._ranks(ids[pairs] << 20 | ids[pairs[0], pairs[1] + 1])
-        done[where, : ids.shape[1]] = ids
-        return [r[:k] for r, k in zip(done.tolist(), size.tolist())]
+        which = np.arange(raw.shape[1])
+        ids = self.first_ids[raw]
+        place = np.arange(MATRIX_WORD, dtype=np.int32)[:, None]
+        pairs = (self.byte_ranks[raw[:-1] << 8 | raw[1:]] << 6) + place[: len(raw) - 1]
+        while len(which):
+            if len(ids) == 1:
+                yield which, ids
+                return
+            best = pairs.min(axis=0)
+            done = best >> 6 == none
+            if done.any():
+                yield which[done], ids[:, done]
+                ids, pairs, which, best = ids[:, ~done], pairs[:, ~done], which[~done], best[~done]
+                if not len(which):
+                    return
+            at, n = best & 63, len(ids) - 1
+            column = np.arange(len(which))
+            ids = np.where(place[:n] <= at, ids[:-1], ids[1:])
+            ids[at, column] = new = self.made_ids[best >> 6]
+            pairs = np.where(place[: n - 1] < at, pairs[:-1], pairs[1:] - 1)
+            for left in (True, False):
+                some = column[at > 0] if left else column[at < n - 1]
+                first = at[some] - left
+                known = self.pair_ranks.get((ids[first, some].astype(np.int64) << 20) | (new[some] if left else ids[first + 1, some]))
+                pairs[first, some] = (known << 6) + first
 
     def _merge_long(self, word: bytes) -> list[int]:
         """The same with a heap and links, for words where scans would be slow."""
@@ -272,11 +345,12 @@ class Transducer:
             at += 4 * n
         self.first, self.ends, self.byte, self.target, self.passed, self.starts, self.ids = parts
         self.root, self.n_states, self.n_words = n_states - 1, n_states, n_words
-        arrays = [np.frombuffer(p, "<u4") for p in parts]
-        source = np.repeat(np.arange(n_states, dtype=np.int64), np.diff(arrays[0].astype(np.int64)))
-        self.arc_keys = np.append(source << 8 | arrays[2], np.iinfo(np.int64).max)
+        arrays = [np.frombuffer(p, "<u4").astype(np.int64) for p in parts]
+        source = np.repeat(np.arange(n_states, dtype=np.int64), np.diff(arrays[0]))
+        self.arcs = Numbers(source << 8 | arrays[2], np.arange(n_arcs), -1)
         self.arc_target, self.arc_passed = arrays[3], arrays[4]
-        self.final = arrays[1]
+        self.final = arrays[1] > 0
+        self.id_starts, self.id_table = arrays[5], arrays[6].astype(np.int32)
 
     @classmethod
     def mapped(cls, compiled: bytes) -> Transducer:
@@ -301,33 +375,38 @@ class Transducer:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
-
-    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
-        """`get` of each word, one letter of all words at a time."""
-        out: list = [None] * len(words)
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The row of each word, -1 for none, one letter of all words at a time."""
+        out = np.full(len(words), -1, np.int64)
         if not self.n_words:
             return out
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(sizes) - sizes
+        at = np.cumsum(sizes) - sizes
         alive = np.flatnonzero(sizes > 0)
-        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
-        depth = 0
+        at, left = at[alive], sizes[alive]
+        state, number = np.full(len(alive), self.root, np.int64), np.zeros(len(alive), np.int64)
         while len(alive):
-            key = state[alive] << 8 | raw[starts[alive] + depth]
-            k = np.searchsorted(self.arc_keys, key)
-            known = self.arc_keys[k] == key
-            alive, k = alive[known], k[known]
-            state[alive] = self.arc_target[k]
-            number[alive] += self.arc_passed[k]
-            depth += 1
-            ended = sizes[alive] == depth
-            for w in alive[ended][self.final[state[alive[ended]]] > 0].tolist():
-                n = int(number[w])
-                out[w] = self.ids[self.starts[n] : self.starts[n + 1]].tolist()
-            alive = alive[~ended]
+            arc = self.arcs.get(state << 8 | raw[at])
+            known = arc >= 0
+            if not known.all():
+                alive, at, left, number, arc = alive[known], at[known], left[known], number[known], arc[known]
+            state = self.arc_target[arc]
+            number += self.arc_passed[arc]
+            at += 1
+            left -= 1
+            ended = left == 0
+            if ended.any():
+                here = ended & self.final[state]
+                out[alive[here]] = number[here]
+                ended = ~ended
+                alive, at, left, state, number = alive[ended], at[ended], left[ended], state[ended], number[ended]
         return out
 
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """`get` of each word."""
+        return [None if k < 0 else self.ids[self.starts[k] : self.starts[k + 1]].tolist() for k in self.numbers(words).tolist()]
+
 
 # ------------------------------------------------------------------ encoding
 
@@ -343,6 +422,30 @@ def segments(text: str, vocabulary: Vocabulary) -> Iterator[tuple[bool, str]]:
             yield bool(k % 2), part
 
 
+def pieces(text: str, vocabulary: Vocabulary, most: int = PIECE) -> Iterator[tuple[bool, str]]:
+    """`segments`, long ones cut where a pre-token starts, so each piece can be encoded apart."""
+    for special, part in segments(text, vocabulary):
+        at = 0
+        while len(part) - at > most and not special:
+            m = _CUT.search(part, at + most)
+            if m is None:
+                break
+            yield False, part[at : m.start()]
+            at = m.start()
+        yield special, part[at:]
+
+
+def _no_plain_cut(text: str) -> bool:
+    """Whether some space is followed by white space or by nothing."""
+    marks = _SPACES_ASCII if text.isascii() else _SPACES
+    return text[-1:] == " " or any(m in text for m in marks)
+
+
+# as pairs, for a search that is faster than a pattern's
+_SPACES = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
+_SPACES_ASCII = [s for s in _SPACES if s.isascii()]
+
+
 def chunks(text: str) -> list[str]:
     """Pieces that can be encoded apart; all but the first start with a space.
 
@@ -350,23 +453,45 @@ def chunks(text: str) -> list[str]:
     pre-token, so the text may be cut there.
     """
     parts = text.split(" ")
-    if _AFTER_SPACE.search(text) is None:
+    if not _no_plain_cut(text):
         return parts
     out = parts[:1]
     for p in parts[1:]:
-        if p and not p[0].isspace() and out is not None:
+        if p and not p[0].isspace():
             out.append(p)
         else:
             out[-1] += " " + p  # this space is followed by white space or nothing
     return out
 
 
+def words_in(chunk: str) -> list[str]:
+    """Pre-tokens of a chunk that comes after a space."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in _POINTS and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return PRETOKEN.findall(" " + chunk)
+
+
+class _Slots(dict):
+    """Numbers keys as they come; the new ones are told in `new`."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    """Encodes chunks through a memo, the transducer, and exact merges."""
+    """Encodes texts through the transducer and exact merges."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer | None = None, memo: int = MEMO_CHUNKS) -> None:
         self.vocabulary, self.transducer, self.memo = vocabulary, transducer, memo
         self.misses = 0
+        self._forget()
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -377,120 +502,106 @@ class Encoder:
         self.misses += 1
         return self.vocabulary.merge(raw)
 
-    def chunk(self, chunk: str) -> list[int]:
-        return [i for w in PRETOKEN.findall(chunk) for i in self.word(w)]
-
     def encode(self, text: str) -> list[int]:
-        """All ids of a text, without the memo."""
+        """All ids of a text, word by word."""
         ids: list[int] = []
         for special, part in segments(text, self.vocabulary):
             if special:
                 ids.append(self.vocabulary.special[part])
             else:
-                for n, c in enumerate(chunks(part)):
-                    ids += self.chunk(c if n == 0 else " " + c)
+                ids += [i for w in PRETOKEN.findall(part) for i in self.word(w)]
         return ids
 
-
-class _Memo(dict):
-    """chunk after a space -> its ids as text, comma after each.
-
-    Two generations: what is full becomes the old one, and hits there return.
-    """
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.old = encoder, {}
-
-    def __missing__(self, chunk: str) -> str:
-        told = self.old.get(chunk)
-        if told is None:
-            ids = self.encoder.vocabulary.told.__getitem__
-            told = "".join([ids(i) for w in words_in(chunk) for i in self.encoder.word(w)])
-        self.keep(chunk, told)
-        return told
-
-    def keep(self, chunk: str, told: str) -> None:
-        if len(self) * 2 >= self.encoder.memo:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = told
-
-
-def words_in(chunk: str) -> list[str]:
-    """Pre-tokens of a chunk that comes after a space."""
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[-1:] in _POINTS and chunk[:-1].isalpha():
-        return [" " + chunk[:-1], chunk[-1]]
-    return PRETOKEN.findall(" " + chunk)
-
-
-def cut(text: str, vocabulary: Vocabulary) -> list[tuple[bool, list[str]]]:
-    """The segments of a text, each a special token or its chunks."""
-    return [(special, [part] if special else chunks(part)) for special, part in segments(text, vocabulary)]
-
-
-def prime(texts: list[list[tuple[bool, list[str]]]], memo: _Memo) -> None:
-    """Put all chunks of the cut texts into the memo, unseen words at a stroke."""
-    need: set[str] = set()
-    for parts in texts:
-        for special, got in parts:
-            if not special:
-                need.update(got[1:])
-    need.difference_update(memo, memo.old)
-    parts_of = {c: words_in(c) for c in need}
-    words = list({w for ws in parts_of.values() for w in ws})
-    raw = [w.encode("utf-8") for w in words]
-    encoder = memo.encoder
-    ids = encoder.transducer.get_many(raw) if encoder.transducer is not None else [None] * len(raw)
-    unseen = [k for k, x in enumerate(ids) if x is None]
-    encoder.misses += len(unseen)
-    for k, x in zip(unseen, encoder.vocabulary.merge_many([raw[k] for k in unseen])):
-        ids[k] = x
-    told = encoder.vocabulary.told.__getitem__
-    text_of = {w: "".join(map(told, x)) for w, x in zip(words, ids)}
-    for c, ws in parts_of.items():
-        memo.keep(c, text_of[ws[0]] if len(ws) == 1 else "".join([text_of[w] for w in ws]))
-
-
-def together(texts: list[str], most: int = TOGETHER) -> Iterator[list[str]]:
-    """The texts in their order, in groups of about `most` code points."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def encode_cut(parts: list[tuple[bool, list[str]]], encoder: Encoder, memo: dict) -> str:
-    """Decimal ids of a cut text, comma-joined."""
-    out = []
-    for special, got in parts:
-        if special:
-            out.append(f"{encoder.vocabulary.special[got[0]]},")
-            continue
-        if got[0]:
-            out.append("".join([f"{i}," for i in encoder.chunk(got[0])]))
-        out.append("".join(map(memo.__getitem__, got[1:])))
-    return "".join(out)[:-1]
-
-
-def encode_joined(text: str, encoder: Encoder, memo: dict) -> str:
-    """Decimal ids of the whole text, comma-joined."""
-    return encode_cut(cut(text, encoder.vocabulary), encoder, memo)
-
-
-def encoded(texts: list[str], encoder: Encoder, memo: _Memo) -> Iterator[str]:
-    """`encode_joined` of each text."""
-    for group in together(texts):
-        parts = [cut(t, encoder.vocabulary) for t in group]
-        prime(parts, memo)
-        for p in parts:
-            yield encode_cut(p, encoder, memo)
+    def words_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that hold those of each word, where its own start, how many they are."""
+        if self.transducer is None:
+            self.misses += len(words)
+            return self.vocabulary.merge_flat(words)
+        row, t = self.transducer.numbers(words), self.transducer
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        seen, unseen = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        starts[seen], sizes[seen] = t.id_starts[row[seen]], np.diff(t.id_starts)[row[seen]]
+        self.misses += len(unseen)
+        flat, starts[unseen], sizes[unseen] = self.vocabulary.merge_flat([words[k] for k in unseen.tolist()])
+        starts[unseen] += len(t.id_table)
+        return np.concatenate([t.id_table, flat]), starts, sizes
+
+    def encode_parts(self, parts: list[tuple[bool, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts (is a special token, text) in a row, and where each part's end."""
+        keys: list = []  # a chunk after a space as it is; (is special, text) for the rest
+        part_ends = []
+        for special, part in parts:
+            if special:
+                keys.append((True, part))
+            else:
+                got = chunks(part)
+                if got[0]:
+                    keys.append((False, got[0]))
+                keys += got[1:]
+            part_ends.append(len(keys))
+        if len(self.slots) > self.memo:
+            self._forget()
+        which = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        self._learn(self.slots.new)
+        sizes = self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.array(part_ends, np.int64)]
+        return self.pool[ranges(self.starts[which], sizes)], ends
+
+    def _forget(self) -> None:
+        self.slots = _Slots()
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, keys: list) -> None:
+        """Put the ids of new keys into the pool, all words at a stroke."""
+        words: dict = {}
+        of, count = [], []  # words of each key, and how many
+        for key in keys:
+            if key.__class__ is str:
+                if key.isalpha():
+                    of.append(words.setdefault(" " + key, len(words)))
+                    count.append(1)
+                    continue
+                got = words_in(key)
+            else:
+                got = [key] if key[0] else PRETOKEN.findall(key[1])
+            of += [words.setdefault(w, len(words)) for w in got]
+            count.append(len(got))
+        special = [(k, w[1]) for w, k in words.items() if w.__class__ is tuple]
+        flat, starts, sizes = self.words_flat([b"" if w.__class__ is tuple else w.encode("utf-8") for w in words])
+        for k, text in special:
+            starts[k], sizes[k] = len(flat), 1
+            flat = np.append(flat, np.int32(self.vocabulary.special[text]))
+        of, count = np.array(of, np.int64), np.array(count, np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes[of])])[np.concatenate([[0], np.cumsum(count)])]
+        keys.clear()
+        self.starts = np.concatenate([self.starts, edges[:-1] + len(self.pool)])
+        self.sizes = np.concatenate([self.sizes, np.diff(edges)])
+        self.pool = np.concatenate([self.pool, flat[ranges(starts[of], sizes[of])]])
+
+    def encode_groups(self, texts: list[str], most: int = TOGETHER, piece: int = PIECE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(number of the text of each piece, ids, where each piece ends), about `most` code points at a time.
+
+        Pieces come in order; an empty text has none.
+        """
+        owners, group, size = [], [], 0
+        for k, text in enumerate(texts):
+            for part in pieces(text, self.vocabulary, piece):
+                owners.append(k)
+                group.append(part)
+                size += len(part[1])
+                if size >= most:
+                    yield (owners, *self.encode_parts(group))
+                    owners, group, size = [], [], 0
+        if group:
+            yield (owners, *self.encode_parts(group))
+
+    def encode_many(self, texts: list[str], most: int = TOGETHER, piece: int = PIECE) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for owners, ids, ends in self.encode_groups(texts, most, piece):
+            for k, part in zip(owners, np.split(ids, ends[:-1])):
+                out[k].append(part)
+        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
 
 @functools.lru_cache(1)
@@ -501,12 +612,11 @@ def vocabulary_at(path: str) -> Vocabulary:
 _STATE: dict = {}
 
 
-def worker_encoder(path: str, digest: str, broadcast) -> tuple[Encoder, dict]:
-    """This worker's encoder and memo; kept between its tasks."""
+def worker_encoder(path: str, digest: str, broadcast) -> Encoder:
+    """This worker's encoder; kept between its tasks."""
     if _STATE.get("key") != (path, digest):
-        encoder = Encoder(vocabulary_at(path), Transducer.mapped(broadcast.value))
-        _STATE.update(key=(path, digest), encoder=encoder, memo=_Memo(encoder), bytes={str(i): b for i, b in encoder.vocabulary.bytes_of.items()})
-    return _STATE["encoder"], _STATE["memo"]
+        _STATE.update(key=(path, digest), encoder=Encoder(vocabulary_at(path), Transducer.mapped(broadcast.value)))
+    return _STATE["encoder"]
 
 
 # --------------------------------------------------------------------- Spark
@@ -518,23 +628,29 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     after: Counter = Counter()  # of chunks after a space
 
     def told():
-        words = Counter(counts)
+        get = counts.get
         for chunk, n in after.items():
-            for w in words_in(chunk):
-                words[w] += n
+            if chunk.isalpha():
+                chunk = " " + chunk
+                counts[chunk] = get(chunk, 0) + n
+            else:
+                for w in words_in(chunk):
+                    counts[w] = get(w, 0) + n
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
         counts.clear()
         after.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        return out
 
     for (texts,) in common.columns(batches):
         for text in texts:
-            for special, part in segments(text, vocabulary):
+            for special, part in pieces(text, vocabulary):
                 if not special:
                     got = chunks(part)
-                    counts.update(PRETOKEN.findall(got[0]))
+                    if got[0]:
+                        counts.update(PRETOKEN.findall(got[0]))
                     after.update(got[1:])
-        if len(counts) + len(after) > COUNTED_AT_ONCE:
-            yield told()
+            if len(counts) + len(after) > COUNTED_AT_ONCE:
+                yield told()
     yield told()
 
 
@@ -548,7 +664,8 @@ def word_counts(df: DataFrame, vocabulary: str, text_col: str = common.TEXT) ->
 def build_lexicon(df: DataFrame, vocabulary: str | None = None, words: int = LEXICON_WORDS, text_col: str = common.TEXT) -> bytes:
     """The compiled transducer of the `words` most frequent pre-tokens.
 
-    Counts cover every document; only the bounded top comes to the driver.  Pre-tokens of over 64 characters are left to the merges.
+    Counts cover every document; only the bounded top comes to the driver.
+    Pre-tokens of over 64 characters are left to the merges.
     """
     vocabulary = vocabulary or default_vocabulary()
     top = common.most_frequent(word_counts(df, vocabulary, text_col).filter(F.length("word").between(1, 64)), "word", "n", words)
@@ -557,17 +674,26 @@ def build_lexicon(df: DataFrame, vocabulary: str | None = None, words: int = LEX
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, digest: str, broadcast) -> Iterator[pa.RecordBatch]:
-    encoder, memo = worker_encoder(path, digest, broadcast)
-    bytes_of = _STATE["bytes"].__getitem__
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    for ids, texts in common.columns(batches):
-        rows = []
-        for i, told in zip(ids, encoded(texts, encoder, memo)):
-            tokens = told.split(",") if told else []
-            back = b"".join(map(bytes_of, tokens)).decode("utf-8", "replace")
-            rows.append((i, len(tokens), sha(told.encode()), sha(back.encode("utf-8"))))
-        a, b, c, d = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    encoder = worker_encoder(path, digest, broadcast)
+    vocabulary = encoder.vocabulary
+    for doc_ids, texts in common.columns(batches, 4096):
+        n = [0] * len(texts)
+        ids_sha, text_sha = ([hashlib.sha256() for _ in texts] for _ in range(2))
+        for owners, ids, ends in encoder.encode_groups(texts):
+            told, told_ends = vocabulary.told.join(ids)
+            back, back_ends = vocabulary.decoded.join(ids)
+            at = told_at = back_at = 0
+            for k, end in zip(owners, ends.tolist()):
+                if end == at:
+                    continue
+                told_end, back_end = int(told_ends[end - 1]), int(back_ends[end - 1])
+                ids_sha[k].update(told[told_at if n[k] else told_at + 1 : told_end])  # no comma before the first
+                # pieces end where a pre-token does, so each is whole characters
+                text_sha[k].update(bytes(back[back_at:back_end]).decode("utf-8", "replace").encode("utf-8"))
+                n[k] += end - at
+                at, told_at, back_at = end, told_end, back_end
+        hexes = lambda hashes: pa.array([h.hexdigest() for h in hashes], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), hexes(ids_sha), hexes(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_digests(df: DataFrame, vocabulary: str | None = None, words: int = LEXICON_WORDS, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
@@ -593,11 +719,9 @@ def encode_ids(df: DataFrame, vocabulary: str | None = None, words: int = LEXICO
     broadcast, digest = spark.sparkContext.broadcast(compiled), hashlib.sha256(compiled).hexdigest()[:16]
 
     def run(batches):
-        encoder, memo = worker_encoder(vocabulary, digest, broadcast)
+        encoder = worker_encoder(vocabulary, digest, broadcast)
         for ids, texts in common.columns(batches):
-            told = encoded(texts, encoder, memo)
-            rows = [[int(x) for x in s.split(",")] if s else [] for s in told]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(encoder.encode_many(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return common.id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

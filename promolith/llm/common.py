@@ -76,11 +76,17 @@ def id_text(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias(ID), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT))
 
 
-def columns(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[tuple[list, ...]]:
-    """Python lists of at most `step` rows, so few texts are unpacked at a time."""
+def columns(batches: Iterator[pa.RecordBatch], step: int = 512, most: int = 1 << 24) -> Iterator[tuple[list, ...]]:
+    """Python lists of at most `step` rows and about `most` bytes (a longer row comes alone)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield tuple(c.to_pylist() for c in batch.slice(at, step).columns)
+        todo = [batch.slice(at, step) for at in range(0, batch.num_rows, step)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield tuple(c.to_pylist() for c in part.columns)
 
 
 def crc_fold(id_col: str, k: int) -> F.Column:
@@ -88,14 +94,16 @@ def crc_fold(id_col: str, k: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(k)
 
 
-def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list[tuple[str, int]]:
+def most_frequent(counts: DataFrame, key: str, count: str, most: int, is_stored: bool = False) -> list[tuple[str, int]]:
     """At most `most` rows with the highest counts, highest first, ties by key.
 
+    `counts` is read twice; unless it `is_stored` it is stored first.
+
     A histogram of the counts (some hundred rows) tells the count from which on
     the rows number `most` or fewer; what lies above comes to the driver without
     a sort in one task.  Rows of the count that would exceed `most` stay out.
     """
-    kept = stored(counts.select(key, count))
+    kept = counts.select(key, count) if is_stored else stored(counts.select(key, count))
     fine = F.when(F.col(count) < 256, F.col(count).cast("long")).otherwise(F.floor(F.log2(count) * 32).cast("long"))
     room, least = most, None
     for b, n, low in sorted(kept.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(count).alias("low")).collect(), key=lambda r: -r.low):
@@ -103,5 +111,6 @@ def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list[tu
             break
         room, least = room - n, low
     rows = kept.filter(F.col(count) >= least).collect() if least is not None else []
-    drop_stored(kept)
+    if not is_stored:
+        drop_stored(kept)
     return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))

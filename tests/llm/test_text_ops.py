@@ -166,11 +166,12 @@ def test_bpe_equals_the_library(spark, sf_dir, docs, tok):
 
 def test_bpe_odd_texts(tok):
     encoder = bpe.Encoder(bpe.vocabulary_at(bpe.default_vocabulary()), memo=4)
-    memo = bpe._Memo(encoder)
-    for text in ["", " ", "  a  b ", "it's don't 'll", "\n\n x　 y\x85z", "a\x1c b", "<|endoftext|>", " <|endoftext|> <|endo", "é" * 50, "1٣½ x²", "日本語 テキスト😀", *(t for t in edge.TEXTS if t)]:
-        want = tok.encode(text, add_special_tokens=False).ids
-        assert bpe.encode_joined(text, encoder, memo) == ",".join(map(str, want))
-        assert encoder.encode(text) == want
+    texts = ["", " ", "  a  b ", "it's don't 'll", "\n\n x　 y\x85z", "a\x1c b", "<|endoftext|>", " <|endoftext|> <|endo", "é" * 50, "1٣½ x²", "日本語 テキスト😀", *(t for t in edge.TEXTS if t)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.encode(t) for t in texts] == want
+    # all at once, one by one, in pieces cut at every other word
+    for most, piece in ((10**9, 10**9), (1, 10**9), (40, 3), (1, 1)):
+        assert [x.tolist() for x in encoder.encode_many(texts, most, piece)] == want, (most, piece)
 
 
 def test_long_words_merge_alike(tok):
