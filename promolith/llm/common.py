@@ -46,9 +46,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where none is set."""
+    """The cluster's shared folder.
+
+    Where none is set, a local master (all in one process) gets a local one; on
+    a cluster that is an error, as executors do not share their own folders.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), "promolith-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
@@ -89,6 +95,32 @@ def columns(batches: Iterator[pa.RecordBatch], step: int = 512, most: int = 1 <<
                 yield tuple(c.to_pylist() for c in part.columns)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+MOST_HOT = 500_000  # bound on the rows that `join_by_size` broadcasts
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, least: int = 1024) -> DataFrame:
+    """Inner join of `rows` with `table`, whose `key` is unlike and whose `size` tells how many rows have it.
+
+    Keys of more than max(least, total / MOST_HOT) rows are broadcast - there are
+    MOST_HOT of them at most, as `total` is the number of all rows - so their rows
+    stay where they are; the others are joined in a shuffle, each a small group.
+    """
+    limit = max(least, total // MOST_HOT)
+    told = [c for c in table.columns if c not in (key, size)]
+    hot = table.filter(F.col(size) > limit).select(key, F.struct(*told).alias("__told"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    there = marked.filter("__told is not null").select(*rows.columns, *(F.col(f"__told.{c}").alias(c) for c in told))
+    rest = marked.filter("__told is null").drop("__told").join(table.filter(F.col(size) <= limit).drop(size), key)
+    return there.unionByName(rest.select(*rows.columns, *told))
+
+
 def crc_fold(id_col: str, k: int) -> F.Column:
     """crc32 of the id as text, modulo k (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(k)

@@ -12,9 +12,13 @@ only the edges within the radius.  Only connectivity is asked for, so a shard
 emits a spanning star for each of its classes, never all of its pairs, and a
 lookup is left out once everything not yet looked up is in one class.
 
-Copies with equal fingerprints are folded by a map-side aggregate first.  A
-shard of more than `tree_size` fingerprints is cut into salted parts; each pair
-of parts is a shard of its own, so no task holds an unbounded group.
+Copies with equal fingerprints are folded by a map-side aggregate first.  With
+more fingerprints there are more blocks, so that shards stay small.  A shard of
+more than `tree_size` fingerprints is dealt again by the bits that are left: cut
+into radius + 1 more blocks, a pair agrees on one of them.  What is still too
+large is cut into salted parts, each pair of parts a shard of its own, so no
+task holds an unbounded group.  Trees are built in the tasks that search them:
+the fingerprints of a shard meet in one task, and no tree has to be broadcast.
 """
 
 from __future__ import annotations
@@ -189,64 +193,92 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield batch()
 
 
+def blocks_for(n: int, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> int:
+    """Blocks that leave a shard of evenly spread fingerprints at an eighth of `tree_size`, 2 * radius at most."""
+    for blocks in range(radius + 2, 2 * radius):
+        if n * 8 <= tree_size << 64 * (blocks - radius) // blocks:
+            return blocks
+    return max(radius + 2, 2 * radius)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def sub_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """`mask` with each of radius + 1 parts of the other bits."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    n = radius + 1
+    return [mask | sum(1 << b for b in left[len(left) * k // n : len(left) * (k + 1) // n]) for k in range(n)]
+
+
+def _too_large(keyed: DataFrame, tree_size: int) -> DataFrame:
+    return keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
     """(a, b) fingerprints whose classes are those of all pairs within `radius`.
 
     `fps` has a column fp without repetitions.
     """
     common.ship(fps.sparkSession)
-    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in block_masks(blocks, radius)))
-    keyed = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    hot = (
-        keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size)
-        .select("t", "key", F.ceil(F.col("n") * 2 / tree_size).cast("int").alias("parts"))
-    )
+    chosen = block_masks(blocks, radius)
+    array = lambda ms: F.array(*(F.lit(_signed(m)).cast("long") for m in ms))
+    keyed = fps.select("fp", F.posexplode(array(chosen)).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    large = _too_large(keyed, tree_size).select("t", "key", F.lit(True).alias("large"))
+    marked = keyed.join(large, ["t", "key"], "left")
+    deeper = F.element_at(F.array(*(array(sub_masks(m, radius)) for m in chosen)), F.col("t") + 1)
+    again = marked.filter("large").select("t", "fp", F.posexplode(deeper).alias("j", "mask")).select(((F.col("t") + 1) * 1024 + F.col("j")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    hot = _too_large(again, tree_size).select("t", "key", F.ceil(F.col("n") * 2 / tree_size).cast("int").alias("parts"))
     # a part's cells: one for each other part, numbered low * parts + high
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("part"))
     cells = F.transform(others, lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
-    dealt = (
-        keyed.join(hot, ["t", "key"], "left").withColumn("part", part)
-        .select("t", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), "fp")
-        .repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "fp")
-    )
+    cut = again.join(hot, ["t", "key"], "left").withColumn("part", part).select("t", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), "fp")
+    dealt = marked.filter("large is null").select("t", "key", F.lit(-1).alias("cell"), "fp").unionByName(cut).repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "fp")
     return dealt.mapInArrow(lambda batches: _search(batches, radius), "a long, b long").distinct()
 
 
-def classes(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """fp, component_id: the smallest id in the class of each fingerprint.
+def classes(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree_size: int = TREE_SIZE) -> tuple[DataFrame, int]:
+    """(fp, n, component_id: copies and the smallest id in the class of each
+    fingerprint; number of rows of `fps`).
 
     `fps` has one row (doc_id, fp) per document and is read more than once.
     """
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).checkpoint()
-    edges = links(reps.select("fp"), radius, blocks, tree_size)
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).checkpoint()
+    distinct, total = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    edges = links(reps.select("fp"), radius, blocks or blocks_for(distinct, radius, tree_size), tree_size)
     found = connected_components(edges)  # node -> smallest fingerprint of its class
-    named = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(ids, "root").select("fp", "component_id")
+    named = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return common.join_by_size(named.drop("rep"), ids, "root", "members", distinct).select("fp", "n", "component_id"), total
 
 
-def near_duplicates(df: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
+def near_duplicates(df: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree_size: int = TREE_SIZE, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the smallest id in the row's class.  Texts without words
     have fingerprint zero, which links like any other.  Rows with a null id are
     returned, and take part in links, but never name a class (a class of null
-    ids only has a null component_id).  Other cases: see `common`.
+    ids only has a null component_id).  Without `blocks` their number follows
+    that of the fingerprints.  Other cases: see `common`.
     """
     common.shared_dir(df.sparkSession)
     fps = fingerprints(df, id_col, text_col).checkpoint()
-    return fps.join(classes(fps, radius, blocks, tree_size), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named, total = classes(fps, radius, blocks, tree_size)
+    return common.join_by_size(fps, named, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
     """One row of each class: the smallest id, of its rows any one.
 
-    A row with a null id stays only where its class has no id.
+    A row with a null id stays only where its class has no id.  Null texts are
+    empty texts, which make one class with all texts without words.
     """
-    rows = common.stored(df.withColumn("__row", F.monotonically_increasing_id()))  # stored, so that the keys stay
-    fps = fingerprints(rows, "__row", text_col).withColumnRenamed("doc_id", "__row").checkpoint()
-    named = classes(fps.withColumnRenamed("__row", "doc_id"))
-    keys = rows.select("__row", F.col(id_col).cast("long").alias("id")).join(fps, "__row").join(named, "fp")
-    first = keys.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
-    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*df.columns)
+    row = common.unused("row", df.columns)
+    rows = common.stored(df.withColumn(row, F.monotonically_increasing_id()))  # stored, so that the keys stay
+    fps = fingerprints(rows, row, text_col).withColumnRenamed("doc_id", "row").checkpoint()
+    named, total = classes(fps.withColumnRenamed("row", "doc_id"))
+    keys = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id")).join(fps, "row")
+    first = common.join_by_size(keys, named, "fp", "n", total).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*df.columns)
