@@ -274,7 +274,8 @@ def _clean_neighbours(batches: Iterator[pa.RecordBatch], told: str) -> Iterator[
 def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = common.ID, text_col: str = common.TEXT) -> Model:
     """Learn lexicon and weights from a bounded sample of labelled rows.
 
-    Without a labelled row of both classes the lexicon is empty and every score
+    Repeated ids are folded: the smallest text counts, and one toxic label is
+    enough; null ids and null labels are left out.  Without a labelled row of both classes the lexicon is empty and every score
     is the share of toxic labels (0 without labels).
     """
     common.ship(df.sparkSession)
@@ -295,9 +296,11 @@ def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str
     top = strong.orderBy(F.desc(F.col("a") * F.col("odds")), "term").limit(20 * LEXICON_TERMS)
     words, stems = choose_terms([(r.term, r.a, r.b) for r in top.collect()], n_toxic, n_clean)
     draft = Model(words, stems, [], []).told
-    clean = sorted(r.word for r in sample.mapInArrow(lambda b: _clean_neighbours(b, draft), "word string").distinct().orderBy("word").limit(50_000).collect())
+    # all of them: they are words of the bounded sample that lie within the edits of a bounded lexicon
+    clean = sorted(r.word for r in sample.mapInArrow(lambda b: _clean_neighbours(b, draft), "word string").distinct().collect())
     draft = Model(words, stems, clean, []).told
-    got = sample.mapInArrow(lambda b: _feature_rows(b, draft), "x array<double>, y int").orderBy("y", "x").collect()
+    got = sample.mapInArrow(lambda b: _feature_rows(b, draft), "x array<double>, y int").collect()
+    got.sort(key=lambda r: (r.y, r.x))  # at most `rows` of them; the sums do not depend on the tasks' order
     weights = fit_logistic(np.array([r.x for r in got]), np.array([r.y for r in got], float))
     common.drop_stored(sample)
     return Model(words, stems, clean, weights.tolist())
@@ -315,6 +318,12 @@ def _score(batches: Iterator[pa.RecordBatch], told: str) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
 
+def _drop(batches: Iterator[pa.RecordBatch], told: str, at: int) -> Iterator[pa.RecordBatch]:
+    lexicon, weights = _parts(told)
+    for batch in batches:
+        yield batch.filter(pa.array([probability(t.as_py() or "", lexicon, weights) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
     """doc_id, held_out, score in [0, 1] and predicted (score >= 0.5) of each row.
 
@@ -327,13 +336,11 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = common.ID, te
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = common.ID, text_col: str = common.TEXT) -> DataFrame:
-    """The rows of `df` predicted clean, whole and without a join."""
+    """The rows of `df` predicted clean, whole and without a join.
+
+    Null and empty texts are clean as far as the model's bias says so; rows
+    with a null id and repeated rows are each judged by their text.
+    """
     told = fit(df, labels, id_col=id_col, text_col=text_col).told
     at = df.columns.index(text_col)
-
-    def run(batches):
-        lexicon, weights = _parts(told)
-        for batch in batches:
-            yield batch.filter(pa.array([probability(t.as_py() or "", lexicon, weights) < 0.5 for t in batch.column(at)], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda b: _drop(b, told, at), df.schema)
