@@ -46,7 +46,6 @@ COUNTED_AT_ONCE = 200_000  # words a task counts before it passes them on
 # White space as the tokenizer's patterns know it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the same where \s has that meaning
 _POINTS = frozenset(".,;:!?")
 _CUT = regex.compile(rf"\x20(?=[^{SPACE}])")  # a pre-token starts here
 

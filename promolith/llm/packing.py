@@ -10,12 +10,14 @@ With f[j] the best cost of a stream cut at point j, the padding of a window is
 size - (p[j] - p[i]), so f[j] = cost[j] + size - p[j] + min(f[i] + p[i]) over the
 points i at most `size` back: a sliding-window minimum, kept in a monotone
 queue, O(1) a point.  A window whose length is a power of two needs no padding;
-these few extra transitions are tried by position.  Every window also costs
-`window_cost`, so that no tiny ones are made.
+these extra transitions are tried by position.  Every window also costs
+`window_cost`, so that no tiny ones are made inside a stream: there 512 and 256
+are tried, shorter windows only in the last block, where they spare the padding
+of what is left over.
 
 The stream is solved in blocks of about `block` ids; all but the last window of
-a block are final and the last one's ids start the next block, so memory does
-not grow with the partition or with a document.
+a block are final and the last one's ids start the next block.  So memory does
+not grow with the partition; of a document only its ids and cuts are held.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from . import bpe, common
 SIZE, BLOCK, GRID = 1024, 1 << 17, 16
 SENTENCE_COST, INNER_COST, WINDOW_COST = 1.0, 2.0, 16.0
 END_ID = 0
-_FREE_LENGTHS = (512,)
+_FREE_LENGTHS = (512, 256)
+_LAST_LENGTHS = tuple(1 << k for k in range(9, -1, -1))
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(n.split()[0], pa.int64()) for n in RESULT.split(", ")])
@@ -49,10 +52,14 @@ def windows(points: list[int], costs: list[float], size: int = SIZE, window_cost
     """
     n = len(points)
     place = np.array(points)
-    exact = []  # for each free length, the point just so far back, or -1
+    exact: list = [None] * n  # the points that lie a free length back
     for length in free:
         k = np.searchsorted(place, place - length)
-        exact.append(np.where(place[k] == place - length, k, -1).tolist())
+        for j in np.flatnonzero(place[k] == place - length).tolist():
+            if exact[j] is None:
+                exact[j] = [int(k[j])]
+            else:
+                exact[j].append(int(k[j]))
     best, back = [0.0] * n, [0] * n
     queue: deque[int] = deque([0])
     base = [0.0] * n  # best + point, what the queue keeps ascending
@@ -65,10 +72,10 @@ def windows(points: list[int], costs: list[float], size: int = SIZE, window_cost
             first = queue[0]
         i = first
         value = base[i] + size - p
-        for back_at in exact:
-            k = back_at[j]
-            if k >= 0 and best[k] < value:
-                value, i = best[k], k
+        if exact[j] is not None:
+            for k in exact[j]:
+                if best[k] < value:
+                    value, i = best[k], k
         value += costs[j] + window_cost
         best[j], back[j] = value, i
         value += p
@@ -87,22 +94,25 @@ class _Ids:
     """Ids of texts under a vocabulary, and where sentences end in them."""
 
     def __init__(self, vocabulary: str) -> None:
-        import tiktoken
+        v = bpe.vocabulary_at(vocabulary)
+        self.encoder = bpe.Encoder(v)
+        # tokens that end a line, that may end a sentence, and that start a new word
+        flags = lambda test: np.array([test(v.bytes_of.get(i, b"")) for i in range(max(v.bytes_of) + 1)], bool)
+        self.lines, self.marks, self.spaced = flags(lambda b: b"\n" in b), flags(lambda b: b[-1:] in (b".", b"!", b"?")), flags(lambda b: b[:1].isspace())
 
-        self.vocabulary = v = bpe.vocabulary_at(vocabulary)
-        ranks = {b: i for i, b in v.bytes_of.items() if i not in v.special.values()}
-        self.encoding = tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(v.bytes_of) + 1, bool)  # tokens after which a sentence may end
-        self.ends[[i for b, i in ranks.items() if b"\n" in b or b[-1:] in (b".", b"!", b"?")]] = True
+    def many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All ids of each text, and the sentence ends in them."""
+        for ids in self.encoder.encode_many(texts):
+            yield ids.astype("<u4"), self._sentence_ends(ids)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a text, and the sentence ends in them."""
-        parts = [
-            np.array([self.vocabulary.special[part]], np.uint32) if special else self.encoding.encode_to_numpy(part, disallowed_special=())
-            for special, part in bpe.segments(text, self.vocabulary)
-        ]
-        ids = np.concatenate(parts).astype("<u4", copy=False) if parts else np.zeros(0, "<u4")
-        return ids, np.flatnonzero(self.ends[ids]) + 1
+        return next(self.many([text]))
+
+    def _sentence_ends(self, ids: np.ndarray) -> np.ndarray:
+        # a mark ends a sentence only before white space: not inside a number or an address
+        ends = self.lines[ids]
+        ends[:-1] |= self.marks[ids[:-1]] & self.spaced[ids[1:]]
+        return np.flatnonzero(ends) + 1
 
 
 @functools.lru_cache(1)
@@ -110,7 +120,7 @@ def _ids_at(vocabulary: str) -> _Ids:
     return _Ids(vocabulary)
 
 
-def cut_points(length: int, ends: np.ndarray, grid: int = GRID) -> tuple[list[int], list[float]]:
+def cut_points(length: int, ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Points inside one document of `length` ids and its end, with costs."""
     ends = ends[(ends > 0) & (ends < length)]
     bounds = np.concatenate([[0], ends, [length]])
@@ -120,7 +130,7 @@ def cut_points(length: int, ends: np.ndarray, grid: int = GRID) -> tuple[list[in
     points = np.concatenate([ends, inner, [length]])
     costs = np.concatenate([np.full(len(ends), SENTENCE_COST), np.full(len(inner), INNER_COST), [0.0]])
     order = np.argsort(points, kind="stable")
-    return points[order].tolist(), costs[order].tolist()
+    return points[order], costs[order]
 
 
 def pack_stream(docs: Iterator[tuple[int | None, np.ndarray, np.ndarray]], first_sequence: int = 0, size: int = SIZE, block: int = BLOCK) -> Iterator[tuple]:
@@ -148,7 +158,11 @@ def pack_stream(docs: Iterator[tuple[int | None, np.ndarray, np.ndarray]], first
 
     def solve(final: bool) -> Iterator[tuple]:
         nonlocal points, costs
-        chosen = windows(points, costs, size)
+        if final:  # what is left over may be cut anywhere
+            price_of = dict(zip(points, costs))
+            points = sorted({*points, *range(max(points[0], points[-1] - size), points[-1])})
+            costs = [price_of.get(p, INNER_COST) for p in points]
+        chosen = windows(points, costs, size, free=_LAST_LENGTHS if final else _FREE_LENGTHS)
         if not final and len(chosen) > 2:
             chosen.pop()
         for i, j in zip(chosen, chosen[1:]):
@@ -159,8 +173,8 @@ def pack_stream(docs: Iterator[tuple[int | None, np.ndarray, np.ndarray]], first
         held.append([doc_id, ids, 0, len(ids)])
         more, price = cut_points(len(ids), cuts)
         for at in range(0, len(more), 4096):  # a long document is solved in blocks as well
-            points += [total + p for p in more[at : at + 4096]]
-            costs += price[at : at + 4096]
+            points += (more[at : at + 4096] + total).tolist()
+            costs += price[at : at + 4096].tolist()
             if points[-1] - points[0] >= block:
                 yield from solve(False)
         total += len(ids)
@@ -173,9 +187,8 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Rec
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
     def docs():
-        for ids, texts in common.columns(batches):
-            for i, text in zip(ids, texts):
-                tokens, cuts = table.of(text)
+        for ids, texts in common.columns(batches, 4096):
+            for i, (tokens, cuts) in zip(ids, table.many(texts)):
                 yield i, np.append(tokens, np.uint32(END_ID)), cuts
 
     rows = []

@@ -185,6 +185,48 @@ def test_quotation_counts_less_than_abuse():
     assert told["quoted"] > 0 == told["addressed"] and meant["addressed"] > 0 == meant["quoted"] and told["weight"] < meant["weight"]
 
 
+def brute_score(text, lexicon, weights):
+    """The score by plain distances to every term, window by window."""
+    strip = lambda w: w.strip(toxicity.PUNCTUATION)
+    words, hits = text.lower().split(), []
+    for k, w in enumerate(words):
+        bare = strip(w)
+        stem = next((bare[:n] for n in range(1, len(bare)) if bare[:n] in lexicon.stems), None)
+        if bare in lexicon.words:
+            hits.append((k, "word", bare))
+        elif stem is not None:
+            hits.append((k, "stem", stem))
+        elif bare not in lexicon.clean and len(bare) >= 4:
+            near = sorted((plain_distance(bare, t), t) for t in lexicon.words if abs(len(t) - len(bare)) < 3 and plain_distance(bare, t) <= (0 if len(t) < 5 else 1 if len(t) < 10 else 2))
+            if near:
+                hits.append((k, "fuzzy", near[0][1]))
+    number, best = Counter(), {}
+    for k, kind, term in hits:
+        around = [strip(w) for w in words[max(0, k - 6) : k + 7]]
+        lead = words[k][: len(words[k]) - len(words[k].lstrip(toxicity.QUOTES))]
+        opened = sum(c in "\"“„«”»" for c in " ".join(words[max(0, k - 6) : k]) + lead)
+        addressed = any(w in toxicity.ADDRESS for w in around)
+        told = (opened % 2 == 1 or any(w in toxicity.REPORTS for w in around)) and not addressed
+        worth = (lexicon.stems if kind == "stem" else lexicon.words)[term] * (0.6 if kind == "fuzzy" else 1) * (0.5 if told else 1)
+        best[kind, term] = max(best.get((kind, term), 0), worth)
+        number.update([kind, *["addressed"] * addressed, *["told"] * told])
+    log = lambda k: math.log(1 + number[k])
+    x = [1, log("word"), log("stem"), log("fuzzy"), log("addressed"), log("told"), min(sum(best.values()), 12), 1 if hits else 0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights))))
+
+
+def test_scores_against_plain_distances(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = common.documents(spark, sf), quality.labels_of(spark, sf)
+    lexicon, weights = toxicity.fit(table, labels).parts()
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, labels).collect()}
+    short = {r.doc_id: r.text for r in table.filter("length(text) < 900").collect()}
+    some = [i for i, t in short.items() if any(w in t.lower() for w in [*lexicon.words, *lexicon.stems])][:60] + list(short)[:60]
+    assert len({round(got[i], 6) for i in some}) > 10
+    for i in some:
+        assert got[i] == pytest.approx(brute_score(short[i], lexicon, weights), abs=1e-9), short[i]
+
+
 def test_no_labels(spark, sf_dir, labels):
     rows = toxicity.score_toxicity(common.documents(spark, sf_dir), labels.limit(0)).collect()
     assert {r.predicted for r in rows} == {0}
@@ -260,10 +302,69 @@ def test_media_round_trip(spark, docs):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_bytes == 44 + len(payload)
         stored = media.write_wav(payload)
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and media.read_wav(stored) == (media.RATE, payload)
-        assert r.feature == media.feature_text(media.audio_features(stored))
+        assert r.feature == media.feature_text(media.read_tensors(media.write_tensors(media.tensors_of(stored))))
     assert got[-3].feature == got[-5].feature and got[-1].feature == got[-2].feature
 
 
+def brute_audio(payload):
+    """(log-mel, energy in dB) of each frame by sums alone."""
+    x, taps = [(b - 128) / 128 for b in payload], 12
+    sinc = lambda t: 1.0 if t == 0 else math.sin(math.pi * t) / (math.pi * t)
+    h = [sinc((t - 11.5) / 3) * (0.54 - 0.46 * math.cos(2 * math.pi * t / 23)) for t in range(24)]
+    gain = [sum(h[p::2]) for p in (0, 1)]
+    y = []
+    for k in range(-(-len(x) * 2 // 3)):
+        at, p = divmod(3 * k, 2)
+        y.append(sum(h[p + 2 * (taps - 1 - j)] / gain[p] * x[min(max(at - 6 + j, 0), len(x) - 1)] for j in range(taps)))
+    count = max(1, -(-max(0, len(y) - 256) // 128) + 1)
+    y += [0.0] * ((count - 1) * 128 + 256 - len(y))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    top = 8000 * 2 / 3 / 2
+    edges = [700 * (10 ** (mel(top) * i / 21 / 2595) - 1) for i in range(22)]
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    bands, energy = [], []
+    for k in range(count):
+        frame = np.array(y[k * 128 : k * 128 + 256])
+        power = abs(dft @ (frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)))) ** 2
+        f = [top * b / 128 for b in range(129)]
+        bands.append([math.log10(sum(power[b] * max(0, min((f[b] - lo) / (mid - lo), (hi - f[b]) / (hi - mid))) for b in range(129)) + 1e-6) for lo, mid, hi in zip(edges, edges[1:], edges[2:])])
+        energy.append(10 * math.log10(sum(frame**2) / 256 + 1e-6))
+    return np.array(bands), np.array(energy)
+
+
+def test_stored_tensors_against_sums(docs, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 5)  # several blocks, none at a whole number of tiles
+    for text in ["", "a", "short text", "x" * 700, *sorted(docs.values(), key=len)[-60:-58], "words and pauses " * 400 + "\x00" * 3000 + "end " * 300]:
+        payload = media.payload_of(text[:12_000])[1]
+        stored = media.read_tensors(media.write_tensors(media.tensors_of(media.write_wav(payload))))
+        bands, energy = brute_audio(payload)
+        n = len(bands)
+        assert stored.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (media.TILE_FRAMES, media.MELS))
+        mel = stored["log_mel"].to_numpy_ndarray().reshape(-1, media.MELS)
+        assert len(stored) == -(-n // media.TILE_FRAMES) and np.allclose(mel[:n], bands, atol=1e-4) and np.allclose(mel[n:], -6)
+        assert np.allclose(stored["energy_db"].to_numpy_ndarray().reshape(-1)[:n], energy, atol=1e-3)
+        step = 128 * 3 / 2 / 8000
+        assert np.allclose(stored["start_s"], np.arange(len(stored)) * 64 * step) and np.allclose(stored["end_s"], [min(64 * (k + 1), n) * step for k in range(len(stored))])
+        spans = media.segments(energy - np.median(energy))
+        assert {(round(s["start_s"] / step), round(s["end_s"] / step)) for row in stored["segments"].to_pylist() for s in row} == set(spans)
+        for k, row in enumerate(stored["segments"].to_pylist()):
+            assert [round(s["start_s"] / step) for s in row] == [a for a, b in spans if a < 64 * (k + 1) and b > 64 * k]
+        told = dict(x.split("=") for x in media.feature_text(stored).split(";"))
+        assert (int(told["frames"]), int(told["tiles"]), int(told["segments"])) == (n, len(stored), len(spans))
+        assert np.allclose(np.array(told["mel"].split(","), float), bands.mean(axis=0), atol=0.006) and abs(float(told["energy"]) - energy.mean()) < 0.006
+
+
+def test_audio_memory_does_not_follow_the_samples():
+    import tracemalloc
+
+    stored = media.write_wav(b"some words, " * 350_000)
+    tracemalloc.start()
+    media.feature_text(media.tensors_of(stored))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(stored), peak / len(stored)
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(4000) / media.RATE
     y = media.resample(np.sin(2 * np.pi * 440 * t))
@@ -276,17 +377,18 @@ def test_resampling_keeps_a_tone():
 def test_hysteresis_and_tiles():
     energy = np.array([-5, 1, 4, 2, 1, -1, 2, 5, -2, 2.0])
     assert media.segments(energy) == [(2, 5), (7, 8)]
-    f = media.audio_features(media.write_wav(bytes(range(256)) * 100))
-    table = media.tiles_table(7, f)
-    assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (media.TILE_FRAMES, media.MELS))
-    assert np.array_equal(table["log_mel"].combine_chunks().to_numpy_ndarray(), f["tiles"])
 
 
 def test_audio_tiles(spark, docs):
-    some = spark.createDataFrame(list(docs.items())[:10], "doc_id long, text string")
-    rows = media.audio_tiles(media.store_audio(some)).collect()
-    assert all(len(r.log_mel) == media.TILE_FRAMES * media.MELS and r.end_s > r.start_s for r in rows)
-    assert {r.doc_id for r in rows} == {i for i, _ in list(docs.items())[:10]}
+    some = spark.createDataFrame(list(docs.items())[:10] + [(None, None)], "doc_id long, text string")
+    rows = media.audio_tiles(media.with_tensors(media.store_audio(some))).collect()
+    assert all(len(r.log_mel) == media.TILE_FRAMES * media.MELS and len(r.energy_db) == media.TILE_FRAMES and r.end_s > r.start_s for r in rows)
+    assert {r.doc_id for r in rows} == {None, *(i for i, _ in list(docs.items())[:10])}
+    for i, text in list(docs.items())[:3]:
+        want = media.tensors_of(media.write_wav(media.payload_of(text)[1]))
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.tile)
+        assert np.array_equal(np.array([r.log_mel for r in mine], np.float32).reshape(-1), want["log_mel"].to_numpy_ndarray().reshape(-1))
+    assert media.audio_tiles(media.with_tensors(media.store_audio(some.limit(0)))).count() == 0
 
 
 def test_every_good_label_is_trusted(spark):
@@ -365,6 +467,29 @@ def test_scores_do_not_depend_on_the_layout():
     assert many == pytest.approx(alone, rel=1e-4) and many[3] == pytest.approx(total, rel=1e-4)
 
 
+def test_one_long_text_among_short_ones():
+    """Memory goes with the tokens, not with the longest text times the lanes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    net = lm.GRU(rng.integers(1, 50, lm.KNOWN).astype(float), 100.0)
+    docs = [np.append(rng.integers(1, lm.KNOWN + 1, n), 0).astype(np.int32) for n in (100_000, *[20] * 300)]
+    tracemalloc.start()
+    got = lm.score_documents(net, docs)
+    lm.learn(net, docs[1:] + [docs[0][-5000:]], 1, 0.01, 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    assert np.isfinite(got).all() and got[0] < got[1:].min()
+
+
+def test_long_words_are_looked_up_too(spark):
+    long = "x" * 100
+    rows = [(i, f"{long} a b{i % 3}") for i in range(200)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and all(r.n_known == 4 for r in got)
+
+
 def test_base_score_and_gain(spark, sf_dir, docs):
     got = {r.doc_id: r for r in lm.score_texts(common.documents(spark, sf_dir), hot_words=1500).collect()}
     words = {i: [w.lower() for w in re.findall(rb"[^ \t-\r]+", t.encode())] for i, t in docs.items()}

@@ -141,6 +141,59 @@ def test_links_of_a_hot_shard(spark, tree_size):
     assert classes(top) == classes(want.__getitem__)
 
 
+def test_more_blocks_find_the_same(spark, sf_dir):
+    df = common.documents(spark, sf_dir)
+    want = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    for blocks in (5, 7, 8):
+        assert sorted(map(tuple, simhash.near_duplicates(df, blocks=blocks, tree_size=16).collect())) == want
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**10, 10**13)] == [6, 6, 7, 8]
+
+
+def test_sub_masks_leave_no_pair_out():
+    rng = np.random.default_rng(6)
+    for mask in simhash.block_masks():
+        subs = simhash.sub_masks(mask)
+        assert len(subs) == 5 and all(s & mask == mask for s in subs)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(20):
+            flips = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(not flips & s for s in subs)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    """Nodes of high degree, whose neighbours get the minimum by broadcast."""
+    from promolith.llm import components
+
+    rng = np.random.default_rng(7)
+    edges = [(0 if k % 2 else 500, 1000 + k) for k in range(300)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (120, 2))] + [(1001, 1000), (7, 7), (None, 3), (3, None)]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if None not in (a, b) and a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    df = spark.createDataFrame(edges, "a long, b long")
+    inner = common.join_by_size
+    for least in (1024, 10):
+        monkeypatch.setattr(common, "join_by_size", lambda *a, **k: inner(*a, **k, least=least))  # noqa: B023
+        assert {r.node: r.root for r in components.connected_components(df).collect()} == {x: top(x) for x in root}
+    assert components.connected_components(df.limit(0)).count() == 0
+
+
+def test_join_by_size_is_an_inner_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(200)] + [(None, -1), (99, -2)], "key long, x long")
+    table = rows.filter("key < 50").groupBy("key").count().selectExpr("key", "count as n", "key * 10 as y", "if(key = 3, null, 'a') as z")
+    want = sorted((r.key, r.x, r.y, r.z or "") for r in rows.join(table, "key").collect())
+    for least in (0, 20, 1000):
+        got = common.join_by_size(rows, table, "key", "n", 200, least)
+        assert got.columns == ["key", "x", "y", "z"] and sorted((r.key, r.x, r.y, r.z or "") for r in got.collect()) == want
+
+
 def test_bk_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(1)
     values = [int(v) & 0xFFFF for v in rng.integers(0, 1 << 16, 400)]
@@ -257,6 +310,25 @@ def test_packing_cost_is_minimal():
         assert sum(cut(i, j) for i, j in zip(chosen, chosen[1:])) == best[-1]
 
 
+def test_sentence_ends(tok):
+    table = packing._ids_at(bpe.default_vocabulary())
+    text = "It is 3.14 at a.b.c now. Next one! Is it? yes\nline two. "
+    ids, ends = table.of(text)
+    cuts = [tok.decode(ids[:e].tolist()) for e in ends.tolist()]
+    assert cuts == [text[: text.index(x) + len(x)] for x in ("now.", "one!", "it?", "yes\n", "two.")]
+
+
+def test_the_last_block_leaves_little_padding(tok):
+    table = packing._ids_at(bpe.default_vocabulary())
+    for n in (1, 30, 300, 700, 1300):
+        ids = np.append(table.of("word " * n)[0], np.uint32(0))
+        rows = list(packing.pack_stream(iter([(1, ids, np.zeros(0, np.int64))])))
+        used = Counter()
+        for r in rows:
+            used[r[5]] += r[2]
+        assert sum(used.values()) == len(ids) and sum(0 if v & (v - 1) == 0 else 1024 - v for v in used.values()) <= 64
+
+
 def test_packing_in_small_blocks(tok):
     texts = ["one two. three " * 50, "", "x" * 5000, "a b c.\n" * 300]
     table = packing._ids_at(bpe.default_vocabulary())
