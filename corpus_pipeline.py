@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written and reread."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over the documents table; each result is written and reread.
+
+    A stage's result is removed once the next one is written; the last one that
+    was written stays, as what is returned reads it.
+    """
+    docs, before = common.documents(spark, sf_dir), None
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = common.stored(docs)
+            if before is not None:
+                common.drop_stored(before)
+            before = docs
     return docs
