@@ -12,8 +12,9 @@ driver a common start; then all rows, dealt to shards of about SHARD_TOKENS
 tokens by their hash, are learnt from on the executors, and the shards' weights
 are averaged by their tokens.  Shards do not depend on how the input is split.
 
-Counts of a bounded number of frequent words are broadcast.  Rarer words are
-joined with the count table in a shuffle, so nothing that grows is broadcast.
+Counts of a bounded number of frequent words of bounded length are broadcast.
+Rarer and longer words are joined with the count table in a shuffle, so nothing
+that grows is broadcast.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from . import common
 
 HIDDEN, CLASSES, CLASS_SIZE = 16, 32, 32
 KNOWN = CLASSES * CLASS_SIZE  # tokens that the network tells apart, end included
-HOT_WORDS = 1 << 17  # bound on the broadcast counts
+HOT_WORDS, HOT_BYTES = 1 << 17, 64  # bounds on the broadcast counts: words, and bytes of each
 TRAIN_DOCS, TRAIN_TOKENS = 600, 300_000  # bounds on what the driver starts the network from
-SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 128, 0.005  # the pass over all training rows
-LANES, WINDOW, EPOCHS, RATE = 32, 20, 2, 0.01
-SCORE_LANES, SCORE_WINDOW, GROUP_TOKENS = 256, 16, 1_000_000
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 2_000_000, 256, 0.005  # the pass over all training rows
+LANES, WINDOW, EPOCHS, RATE = 32, 32, 2, 0.01
+SCORE_LANES, SCORE_WINDOW, GROUP_TOKENS = 512, 32, 4_000_000
 COUNTED_AT_ONCE = 250_000
 END = " "  # no word has a space
 FOLDS, HELD = 7, 2
@@ -126,26 +127,32 @@ class GRU:
         for k in range(CLASSES):
             mine = slice(edges[k], edges[k + 1])
             if edges[k] < edges[k + 1]:
-                q, more = _softmax_error(f[mine] @ self.p["w"][k] + self.p["wb"][k], row[: edges[k + 1] - edges[k]], y[mine] % CLASS_SIZE, n)
+                bias = self.p["wb"][k]
+                q, more = _softmax_error(f[mine] @ self.p["w"][k] + (bias - bias.max()), row[: edges[k + 1] - edges[k]], y[mine] % CLASS_SIZE, n)
                 loss += more
                 grad["w"][k], grad["wb"][k] = f[mine].T @ q, q.sum(axis=0)
                 df[mine] += q @ self.p["w"][k].T
         d_out = np.zeros_like(flat)
         d_out[use] = df
         d_out = d_out.reshape(steps, lanes, HIDDEN)
+        # what the backward steps multiply by, for all steps at a time
+        before, z, r, cand, g = (np.stack(x) for x in zip(*kept))
+        by_z, by_n, by_r = (before - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), g[:, :, 2 * HIDDEN :] * r * (1 - r)
+        goes_on, back = (tokens != START)[:, :, None], np.ascontiguousarray(self.p["u"].T)
         dh = np.zeros_like(h)
         dx, dg = np.empty((steps, lanes, 3 * HIDDEN), flat.dtype), np.empty((steps, lanes, 3 * HIDDEN), flat.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, cand, g = kept[t]
-            dh = dh + d_out[t]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            dx[t, :, :HIDDEN] = dh * (before - cand) * z * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * g[:, 2 * HIDDEN :] * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
+            dh += d_out[t]
+            dn = dx[t, :, 2 * HIDDEN :]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=dx[t, :, :HIDDEN])
+            np.multiply(dn, by_r[t], out=dx[t, :, HIDDEN : 2 * HIDDEN])
             dg[t] = dx[t]
-            dg[t, :, 2 * HIDDEN :] *= r
-            dh = (dh * z + dg[t] @ self.p["u"].T) * (tokens[t] != START)[:, None]
-        grad["u"] += np.concatenate([k[0] for k in kept]).T @ dg.reshape(-1, 3 * HIDDEN)
+            dg[t, :, 2 * HIDDEN :] *= r[t]
+            dh *= z[t]
+            dh += dg[t] @ back
+            dh *= goes_on[t]
+        grad["u"] += before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
         order = np.argsort(tokens.reshape(-1), kind="stable")
         seen, first = np.unique(tokens.reshape(-1)[order], return_index=True)
         grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
@@ -153,13 +160,14 @@ class GRU:
 
 
 def _softmax_error(logits: np.ndarray, row: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Gradient by the logits of the loss over `n`, and the summed loss."""
-    q = np.exp(logits - logits.max(axis=1, keepdims=True))
-    q /= q.sum(axis=1, keepdims=True)
-    loss = -np.log(q[row, target] + 1e-30).sum()
-    q[row, target] -= 1
-    q /= n
-    return q, loss
+    """Gradient by the logits (in their place) of the loss over `n`, and the summed loss."""
+    np.minimum(logits, 80, out=logits)  # far from where they are; keeps the exponentials finite
+    picked = logits[row, target]
+    q = np.exp(logits, out=logits)
+    total = q @ np.ones(q.shape[1], q.dtype)
+    q *= (1 / (n * total))[:, None]
+    q[row, target] -= 1 / n
+    return q, (np.log(total) - picked).sum()
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[list[list[int]], list[int]]:
@@ -175,23 +183,47 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[list[list[int]], list[
     return dealt, [sum(len(docs[d]) for d in ds) for ds in dealt]
 
 
-def laid_out(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(inputs, targets, document) as time x lane, and lane lengths.
+class Lanes:
+    """Documents in lanes, one after the other in each.
 
     A document's targets are its tokens, END (token 0) last; its inputs are
-    START and the tokens but the last.  Fill has target and document -1.
+    START and the tokens but the last.  Only the tokens are held, in the lanes'
+    order; a window's rows are picked when it is due, so memory does not grow
+    with the longest document times the lanes.
+
+    Lanes hold whole documents, or else are `even` parts of one stream of them:
+    then a lane may start inside a document, with a cleared state.
     """
-    dealt, sizes = lanes_of(docs, lanes)
-    shape = (max(sizes, default=0), len(dealt))
-    inputs, targets, owner = np.full(shape, START, np.int32), np.full(shape, -1, np.int32), np.full(shape, -1, np.int32)
-    for k, ds in enumerate(dealt):
-        at = 0
-        for d in ds:
-            n = len(docs[d])
-            targets[at : at + n, k], owner[at : at + n, k] = docs[d], d
-            inputs[at + 1 : at + n, k] = docs[d][:-1]
-            at += n
-    return inputs, targets, owner, sizes
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, even: bool = False) -> None:
+        if even:
+            order, total = list(range(len(docs))), sum(map(len, docs))
+            sizes = [min(at + -(-total // lanes), total) - at for at in range(0, total, -(-total // lanes))]
+        else:
+            dealt, sizes = lanes_of(docs, lanes)
+            order = [d for ds in dealt for d in ds]
+        lengths = [len(docs[d]) for d in order]
+        self.targets = np.concatenate([docs[d] for d in order]).astype(np.int32)
+        self.owner = np.repeat(np.array(order, np.int32), lengths)
+        self.inputs = np.concatenate([[START], self.targets[:-1]]).astype(np.int32)
+        self.inputs[np.cumsum(lengths)[:-1]] = START
+        self.sizes = np.array(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __len__(self) -> int:
+        return int(self.sizes[0])
+
+    def active(self, at: np.ndarray | int):
+        """How many lanes are longer than `at`; they are the first ones."""
+        return np.searchsorted(-self.sizes, -np.asarray(at), side="left")
+
+    def window(self, at: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, targets) of the lanes still active, time by lane; past a lane's end START and -1."""
+        a = int(self.active(at))
+        t = np.arange(at, min(at + steps, len(self)))[:, None]
+        there = t < self.sizes[:a]
+        where = np.where(there, self.starts[:a] + t, 0)
+        return np.where(there, self.inputs[where], START), np.where(there, self.targets[where], -1)
 
 
 def train_network(docs: list[np.ndarray], counts: np.ndarray, other: float, epochs: int = EPOCHS, rate: float = RATE) -> GRU:
@@ -205,15 +237,15 @@ def learn(net: GRU, docs: list[np.ndarray], epochs: int, rate: float, lanes: int
     """Train `net` in place on `docs`."""
     if not docs:
         return
-    inputs, targets, _, sizes = laid_out(docs, lanes)
+    laid = Lanes(docs, lanes, even=True)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     t = 0
     for epoch in range(epochs):
-        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-        for at in range(0, len(inputs), WINDOW):
-            a = int(np.searchsorted(-np.array(sizes), -at, side="left"))  # lanes longer than `at`
-            _, grad, h = net.loss_gradient(inputs[at : at + WINDOW, :a], targets[at : at + WINDOW, :a], h[:a])
+        h = np.zeros((len(laid.sizes), HIDDEN), np.float32)
+        for at in range(0, len(laid), WINDOW):
+            inputs, targets = laid.window(at, WINDOW)
+            _, grad, h = net.loss_gradient(inputs, targets, h[: inputs.shape[1]])
             t += 1
             size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             scale = min(1.0, 1.0 / (size + 1e-9))
@@ -230,20 +262,16 @@ def score_documents(net: GRU, docs: list[np.ndarray], lanes: int = SCORE_LANES,
     out = np.zeros(len(docs))
     if not docs:
         return out
-    inputs, targets, owner, sizes = laid_out(docs, lanes)
-    h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-    ends = np.array(sizes)
-    active_at = np.searchsorted(-ends, -np.arange(len(inputs)), side="left")  # lanes longer than t
-    for at in range(0, len(inputs), window):
-        states, who, what = [], [], []
-        for t in range(at, min(at + window, len(inputs))):
-            a = active_at[t]
-            h = h[:a]
-            h, _ = net.step(inputs[t, :a], h)
+    laid = Lanes(docs, lanes)
+    h = np.zeros((len(laid.sizes), HIDDEN), np.float32)
+    for at in range(0, len(laid), window):
+        states, rows = [], []
+        for t, a in enumerate(laid.active(np.arange(at, min(at + window, len(laid)))).tolist(), at):
+            rows.append(laid.starts[:a] + t)
+            h, _ = net.step(laid.inputs[rows[-1]], h[:a])
             states.append(h)
-            who.append(owner[t, :a])
-            what.append(targets[t, :a])
-        out += np.bincount(np.concatenate(who), net.log_p(np.concatenate(states), np.concatenate(what)).astype(float), len(docs))
+        where = np.concatenate(rows)
+        out += np.bincount(laid.owner[where], net.log_p(np.concatenate(states), laid.targets[where]).astype(float), len(docs))
     return out
 
 
@@ -299,7 +327,7 @@ def known_ids(ranks: np.ndarray) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each rare word of a document."""
+    """A row for each document, and one for each distinct rare word of a document."""
     hot, net, log_other = broadcast.value
     log_c = np.log10(hot.counts + 1.0)
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
@@ -310,13 +338,16 @@ def _score(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBa
 
     def told():
         logs = score_documents(net, [g[-1] for g in group]) / math.log(10)
-        docs, rare = [], []
-        for (rid, doc_id, held, n, n_hot, hot_sum, other_sum, few, _), log in zip(group, logs):
-            docs.append((rid, f"{END}{rid}", None, doc_id, held, n, n_hot, hot_sum, float(log) + other_sum))
-            rare += [(rid, w.decode("utf-8"), k, None, None, None, None, None, None) for w, k in few.items()]
-        for part in (docs, rare):
-            for at in range(0, len(part), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part[at : at + 50_000]), kinds)], names=names)
+        docs = [(rid, f"{END}{rid}", None, doc_id, held, n, n_hot, hot_sum, float(log) + other_sum) for (rid, doc_id, held, n, n_hot, hot_sum, other_sum, _, _), log in zip(group, logs)]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs), kinds)], names=names)
+        for some in range(0, len(group), 256):
+            part = group[some : some + 256]
+            words = [w for g in part for w in g[-2]]
+            if words:
+                rids = np.repeat([g[0] for g in part], [len(g[-2]) for g in part])
+                n = [k for g in part for k in g[-2].values()]
+                yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), *(pa.nulls(len(words), k) for k in kinds[3:])], names=names)
 
     for ids, held, texts in common.columns(batches):
         for doc_id, out, text in zip(ids, held, texts):
@@ -441,7 +472,8 @@ def score_texts(df: DataFrame, hot_words: int = HOT_WORDS, id_col: str = common.
     n, v = total.n or 0, total.v
     words = counts.filter(F.col("word") != END)
     ends = counts.filter(F.col("word") == END).first()
-    top = common.most_frequent(words, "word", "c", hot_words)
+    short = F.octet_length("word") <= HOT_BYTES
+    top = common.most_frequent(words.filter(short), "word", "c", hot_words, is_stored=True)
     hot = Hot([END.encode(), *(w.encode("utf-8") for w, _ in top)], [ends.c if ends else 0, *(c for _, c in top)])
     net = fit(train, hot, n)
     inside = hot.counts[:KNOWN]
@@ -450,7 +482,7 @@ def score_texts(df: DataFrame, hot_words: int = HOT_WORDS, id_col: str = common.
     scored = rows.select("doc_id", (fold == HELD).alias("held_out"), "text").mapInArrow(
         lambda b: _score(b, broadcast), "rid long, word string, n long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, model double"
     )
-    rare = words.filter(F.col("c") < top[-1][1]) if top else words  # all that is not broadcast
+    rare = words.filter((F.col("c") < top[-1][1]) | ~short) if top else words  # all that is not broadcast
     joined = scored.join(rare, "word", "left")
     whole = joined.groupBy("rid").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "model")),
