@@ -54,7 +54,7 @@ GROUPS = (
 
 @dataclass(frozen=True)
 class FakePromoConfig:
-    """Thresholds (percent or points) and weights of the rules."""
+    """Thresholds (percent or points) and weights of the rules.  The defaults are fixed values."""
 
     old_price_jump_pct: float = 5.0
     promo_flat_pct: float = 1.0

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolith.config import TRUSTED_MATCH
-from promolith.numeric import rounded, weighted_medians
+from promolith.numeric import grouped_quantiles, rounded, weighted_medians
 from promolith.operators.prep import SERIES
 
 
 def per_shop_prices(states: DataFrame) -> DataFrame:
     """One row for each series: medians weighted by time, most frequent status."""
     told = states.groupBy(*SERIES).agg(*(F.min_by(c, "state_id").alias(c) for c in ("name", "category", "group")), F.mode("match_status", True).alias("match_status"))
-    price = weighted_medians(states, SERIES, "promotion_price", "weight_hours", "promo_price")
-    discount = weighted_medians(states, SERIES, "discount_pct", "weight_hours", "discount_pct")
-    return told.join(price, SERIES).join(discount, SERIES)
+    return told.join(weighted_medians(states, SERIES, {"promo_price": "promotion_price", "discount_pct": "discount_pct"}, "weight_hours"), SERIES)
 
 
 def competitor_comparison(states: DataFrame, trusted_only: bool = False, prices: DataFrame | None = None) -> DataFrame:
@@ -49,9 +47,10 @@ def shop_price_index(states: DataFrame, prices: DataFrame | None = None) -> Data
 def group_price_comparison(states: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Shops against each other inside a product group."""
     rows = per_shop_prices(states) if prices is None else prices
-    table = rows.groupBy("category", "group", "shop").agg(
-        F.count_distinct("canonical_product_id").alias("products"), F.median("discount_pct").alias("md"), F.max("discount_pct").alias("xd"), F.median("promo_price").alias("mp")
-    )
+    keys = ["category", "group", "shop"]
+    table = rows.groupBy(*keys).agg(F.count_distinct("canonical_product_id").alias("products"), F.max("discount_pct").alias("xd"))
+    medians = grouped_quantiles(rows, keys, {"d": ("discount_pct", (0.5,)), "p": ("promo_price", (0.5,))})
+    table = table.join(medians.select(*keys, F.col("d")[0].alias("md"), F.col("p")[0].alias("mp")), keys, "left")
     w = Window.partitionBy("group")
     return table.select(
         "category", "group", "shop", "products", rounded(F.col("md"), 2).alias("median_discount"), rounded(F.col("xd"), 2).alias("max_discount"), rounded(F.col("mp"), 2).alias("median_price"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolith.numeric import hours_between, rounded, weighted_mean, weighted_medians
+from promolith.numeric import grouped_quantiles, hours_between, rounded, weighted_mean, weighted_medians
 from promolith.operators.prep import SERIES
 
 
@@ -16,15 +16,15 @@ def price_history(features: DataFrame, product_id: str | None = None, shop: str
     wanted = {"canonical_product_id": product_id, "shop": shop, "category": category, "group": group}
     tests = [F.col(c) == v for c, v in wanted.items() if v is not None]
     kept = features.filter(reduce(lambda a, b: a & b, tests)) if tests else features
-    return kept.select("canonical_product_id", "name", "shop", "category", "group", "date", "original_price", "promotion_price", "discount_pct", "match_status").orderBy("canonical_product_id", "date")
+    return kept.select("canonical_product_id", "name", "shop", "category", "group", "date", "original_price", "promotion_price", "discount_pct", "match_status").orderBy("canonical_product_id", "date", "shop", "original_price", "promotion_price", "match_status", "name")
 
 
 def price_timeline(states: DataFrame) -> DataFrame:
     """One row for each interval of constant price, with what it saves."""
     return states.select(
-        "canonical_product_id", "name", "shop", "category", "group", "episode_id", "first_seen", "last_seen", rounded(F.col("duration_hours"), 2).alias("duration_hours"), "n_obs",
+        "state_id", "canonical_product_id", "name", "shop", "category", "group", "episode_id", "first_seen", "last_seen", rounded(F.col("duration_hours"), 2).alias("duration_hours"), "n_obs",
         "original_price", "promotion_price", rounded(F.col("discount_pct"), 2).alias("discount_pct"), rounded(F.col("original_price") - F.col("promotion_price"), 2).alias("saving"),
-    ).orderBy("shop", "canonical_product_id", "first_seen")
+    ).orderBy("shop", "canonical_product_id", "first_seen", "state_id").drop("state_id")
 
 
 def discount_stats(states: DataFrame, by: str = "shop") -> DataFrame:
@@ -36,18 +36,17 @@ def discount_stats(states: DataFrame, by: str = "shop") -> DataFrame:
     if by not in ("shop", "category", "group"):
         raise ValueError("by must be shop, category or group")
     keys = [by, *(k for k in SERIES if k != by)]
-    discount = weighted_medians(states, keys, "discount_pct", "weight_hours", "discount")
-    price = weighted_medians(states, keys, "promotion_price", "weight_hours", "price")
+    medians = weighted_medians(states, keys, {"discount": "discount_pct", "price": "promotion_price"}, "weight_hours")
     sizes = states.groupBy(*keys).agg(F.sum("weight_hours").alias("hours"), F.count(F.lit(1)).alias("n"), F.sum("n_obs").alias("obs"))
-    each = sizes.join(discount, keys).join(price, keys)
-    quartiles = F.percentile("discount", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
+    each = sizes.join(medians, keys)
     got = each.groupBy(by).agg(
         F.count_distinct("canonical_product_id").alias("products"), F.sum("n").alias("price_states"), F.sum("obs").alias("observations"),
-        weighted_mean("discount", "hours").alias("mean"), quartiles.alias("q"), F.max("discount").alias("max"), F.median("price").alias("price"),
+        weighted_mean("discount", "hours").alias("mean"), F.max("discount").alias("max"),
     )
+    got = got.join(grouped_quantiles(each, [by], {"q": ("discount", (0.25, 0.5, 0.75, 0.95)), "p": ("price", (0.5,))}), by)
     return got.select(
         by, "products", "price_states", "observations", rounded(F.col("mean"), 2).alias("discount_mean"), rounded(F.col("q")[1], 2).alias("discount_median"), rounded(F.col("q")[0], 2).alias("discount_p25"),
-        rounded(F.col("q")[2], 2).alias("discount_p75"), rounded(F.col("q")[3], 2).alias("discount_p95"), rounded(F.col("max"), 2).alias("discount_max"), rounded(F.col("price"), 2).alias("price_median"),
+        rounded(F.col("q")[2], 2).alias("discount_p75"), rounded(F.col("q")[3], 2).alias("discount_p95"), rounded(F.col("max"), 2).alias("discount_max"), rounded(F.col("p")[0], 2).alias("price_median"),
     ).orderBy(F.desc("discount_median"), by)
 
 

@@ -14,7 +14,7 @@ from promolith.sources.sink import RAW
 
 
 def is_blocked(html: Column) -> Column:
-    """Native form of `extract.blocked_page`; a null page is not blocked."""
+    """Whether a page is a challenge or an error instead of content; a null page is not."""
     low = F.lower(F.coalesce(html, F.lit("")))
     title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(low, r"(?s)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", " "), r"\s+", " "))
     status = F.regexp_like(title, F.lit(r"^(error\s*)?(403|429|503)(\s+[^<]*)?$"))
@@ -25,8 +25,17 @@ def is_blocked(html: Column) -> Column:
     return title.isin(*extract.BLOCK_TITLES) | starts | status | text
 
 
-def extract_products(pages: DataFrame, shop: str, host: str, collected_at: str, cards: dict[str, str] | None = None) -> DataFrame:
-    """Raw products (RAW) of pages (url, html); blocked pages give none."""
+def shop_products(pages: DataFrame, shop: str, collected_at: str) -> DataFrame:
+    """`extract_products` with the host and the card selectors of a known shop."""
+    host, cards = extract.SHOPS[shop]
+    return extract_products(pages, shop, host, collected_at, cards)
+
+
+def extract_products(pages: DataFrame, shop: str, host: str, collected_at: str, cards: extract.Cards | dict | None = None) -> DataFrame:
+    """Raw products (RAW) of pages (url, html); blocked pages give none.
+
+    An address counts once in a page; `unique_products` makes it count once in all.
+    """
     names = [f.name for f in RAW]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,35 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolith import config
-from promolith.numeric import rounded
+from promolith.numeric import grouped_quantiles, rounded
 from promolith.operators.history import product_promo_summary
 
 # What a favourite's score is made of.
 WEIGHTS = {"promo_hours": 0.35, "n_episodes": 0.25, "n_price_states": 0.20, "median_discount": 0.20}
 
 
-def min_max(column: str, w) -> Column:
-    """The value's place between the window's extremes; 0.5 where they are equal."""
-    value = F.col(column).cast("double")
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return F.when(hi == lo, F.lit(0.5)).when(hi.isNull(), F.lit(0.5)).otherwise((value - lo) / F.nullif(hi - lo, F.lit(0.0)))
-
-
 def favorite_products(states: DataFrame, top_n: int = 20, within_shop: bool = True, summary: DataFrame | None = None) -> DataFrame:
-    """The `top_n` highest scores, normalised and ranked in the shop or overall."""
+    """The `top_n` highest scores, normalised and ranked in the shop or overall.
+
+    A part of the score is the value's place between its extremes, 0.5 where
+    they are equal.  Extremes are one row a scope; ranks come from a scope's
+    distinct scores, of which there are 1001 at most.
+    """
     rows = product_promo_summary(states) if summary is None else summary
-    if within_shop:
-        w, ranked = Window.partitionBy("shop"), Window.partitionBy("shop").orderBy(F.desc("score"))
-        parts = {c: min_max(c, w) for c in WEIGHTS}
-        scored = rows.withColumn("score", rounded(sum((F.lit(k) * parts[c] for c, k in WEIGHTS.items()), F.lit(0.0)), 3)).withColumn("rank_in_shop", F.rank().over(ranked).cast("double"))
-    else:
-        # one row of extremes, and ranks from the few distinct scores
-        ends = rows.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in WEIGHTS for n, f in (("lo", F.min), ("hi", F.max))))
-        part = lambda c: F.when((F.col(f"hi_{c}") == F.col(f"lo_{c}")) | F.col(f"hi_{c}").isNull(), F.lit(0.5)).otherwise((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)))
-        scored = rows.crossJoin(F.broadcast(ends)).withColumn("score", rounded(sum((F.lit(k) * part(c) for c, k in WEIGHTS.items()), F.lit(0.0)), 3))
-        per_score = scored.groupBy("score").count()
-        above = F.sum("count").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))  # at most 1001 scores
-        scored = scored.join(per_score.select("score", (F.coalesce(above, F.lit(0)) + 1).cast("double").alias("rank_in_shop")), "score")
+    rows = rows.withColumn("__scope", F.col("shop") if within_shop else F.lit(""))
+    ends = rows.groupBy("__scope").agg(*(f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in WEIGHTS for n, f in (("lo", F.min), ("hi", F.max))))
+
+    def part(c: str) -> Column:
+        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        return F.when((hi == lo) | hi.isNull(), F.lit(0.5)).otherwise((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)))
+
+    scored = rows.join(ends, "__scope").withColumn("score", rounded(sum((F.lit(k) * part(c) for c, k in WEIGHTS.items()), F.lit(0.0)), 3))
+    above = F.sum("count").over(Window.partitionBy("__scope").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = scored.groupBy("__scope", "score").count().select("__scope", "score", (F.coalesce(above, F.lit(0)) + 1).cast("double").alias("rank_in_shop"))
+    scored = scored.join(ranks, ["__scope", "score"])
     share = F.coalesce(F.col("promo_hours") / F.nullif(F.col("observed_hours"), F.lit(0.0)), F.lit(1.0))
     r3 = lambda c: rounded(F.col(c), 3).alias(c)
     return scored.select(
@@ -47,8 +44,11 @@ def group_promo_activity(states: DataFrame, summary: DataFrame | None = None) ->
     """Which groups a shop keeps in promotion."""
     rows = product_promo_summary(states) if summary is None else summary
     table = rows.groupBy("shop", "category", "group").agg(
-        F.count_distinct("canonical_product_id").alias("products"), F.sum("n_episodes").alias("episodes"), rounded(F.sum("promo_days"), 3).alias("promo_days"), rounded(F.median("median_discount"), 3).alias("median_discount")
+        F.count_distinct("canonical_product_id").alias("products"), F.sum("n_episodes").alias("episodes"), rounded(F.sum("promo_days"), 3).alias("promo_days")
     )
+    keys = ["shop", "category", "group"]
+    medians = grouped_quantiles(rows, keys, {"q": ("median_discount", (0.5,))}).select(*keys, rounded(F.col("q")[0], 3).alias("median_discount"))
+    table = table.join(medians, keys, "left").select(*keys, "products", "episodes", "promo_days", "median_discount")
     share = F.col("products") / F.sum("products").over(Window.partitionBy("shop"))
     return table.withColumn("share_of_shop_products", rounded(share, 3)).orderBy("shop", F.desc("products"), "group")
 

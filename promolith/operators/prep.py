@@ -26,9 +26,22 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter("original_price > 0 and promotion_price > 0 and canonical_product_id is not null and shop is not null and date is not null").withColumns(prices)
 
 
+def searchable(name: Column) -> Column:
+    """The form of a name that keywords are looked for in."""
+    return F.replace(F.lower(name), F.lit("`"), F.lit(" "))
+
+
 def product_group(name: Column) -> Column:
     """First group with a keyword in the name."""
-    text = F.replace(F.lower(name), F.lit("`"), F.lit(" "))
+    return group_of(searchable(name))
+
+
+def group_of(text: Column) -> Column:
+    """The same for a `searchable` name.
+
+    `text` should be a column of its own: there are over a hundred keywords, and
+    an expression in its place is computed for each of them.
+    """
     found = [F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in words)), F.lit(group)) for group, _, words in config.GROUPS]
     return F.coalesce(*found, F.lit(config.NO_GROUP))
 
@@ -49,7 +62,7 @@ def discount_pct(original: Column, promotion: Column) -> Column:
 def add_features(observations: DataFrame) -> DataFrame:
     """group, category, discount_pct, day and weekday (Monday 0) for each row."""
     return (
-        observations.withColumn("group", product_group(F.col("name")))
+        observations.withColumn("__searched", searchable(F.col("name"))).withColumn("group", group_of(F.col("__searched"))).drop("__searched")
         .withColumn("category", product_category(F.col("shop"), F.col("group")))
         .withColumns({"discount_pct": discount_pct(F.col("original_price"), F.col("promotion_price")), "day": F.to_date("date"), "weekday": F.weekday("date")})
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolith.config import FakePromoConfig
-from promolith.numeric import rounded
+from promolith.numeric import grouped_quantiles, rounded
 from promolith.operators.prep import SERIES, discount_pct
 
 LEVELS = ("likely_fake", "suspicious", "ok")
@@ -27,10 +27,12 @@ def detect_fake_promos(states: DataFrame, config: FakePromoConfig | None = None,
     ties; `evidence` is JSON with a key for each rule that fired.
     """
     cfg = config or FakePromoConfig()
-    w = Window.partitionBy(*SERIES, *(["episode_id"] if within_episode else [])).orderBy("state_id")
+    # the state before has the number before: a join on both spreads a long series, which a window would sort in one task
+    on = [*SERIES, *(["episode_id"] if within_episode else []), "state_id"]
+    before = states.select(*on[:-1], (F.col("state_id") + 1).alias("state_id"), F.col("original_price").alias("po"), F.col("promotion_price").alias("pp"))
     growth = lambda now, before: (F.col(now) / F.col(before) - 1) * 100
     rows = (
-        states.withColumns({"po": F.lag("original_price").over(w), "pp": F.lag("promotion_price").over(w)})
+        states.join(before, on, "left")
         .withColumns({"pd": discount_pct(F.col("po"), F.col("pp")), "og": growth("original_price", "po"), "pg": growth("promotion_price", "pp")})
         .withColumn("at", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     )
@@ -55,7 +57,7 @@ def detect_fake_promos(states: DataFrame, config: FakePromoConfig | None = None,
     swing = F.col("d_max") - F.col("d_min")
     overpay = (F.col("price_last") / F.col("best.promotion_price") - 1) * 100
     worse = (overpay >= cfg.worse_than_best_pct) & (F.col("d_last") >= F.col("best.discount_pct"))
-    limits = states.groupBy("group").agg(F.percentile("discount_pct", cfg.outlier_quantile).alias("deep"))
+    limits = grouped_quantiles(states, ["group"], {"q": ("discount_pct", (cfg.outlier_quantile,))}).select("group", F.col("q")[0].alias("deep"))
     marked = seen.withColumns({
         "depth_swing": F.when(swing >= cfg.depth_swing_pp, F.struct(r2("d_min").alias("discount_min"), r2("d_max").alias("discount_max"), r2(swing).alias("swing_pp"), F.col("n_price_states").alias("n_states"))),
         "worse_than_best": F.when(worse, F.struct(F.col("best.promotion_price").alias("best_price"), F.col("best.at").alias("best_seen_at"), r2("best.discount_pct").alias("best_discount"), F.col("price_last").alias("last_price"), r2("d_last").alias("last_discount"), r2(overpay).alias("overpay_pct"))),

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolith.numeric import hours_between, rounded
+from promolith.numeric import grouped_quantiles, hours_between, rounded
 from promolith.operators.prep import SERIES
 from promolith.operators.scoring import LEVELS
 
 
 def discount_distribution(states: DataFrame, by: str = "group", top_n: int = 12) -> DataFrame:
     """Five-number summary of discounts for the `top_n` highest medians."""
-    q = F.percentile("discount_pct", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    got = states.groupBy(by).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+    got = states.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(grouped_quantiles(states, [by], {"q": ("discount_pct", (0.0, 0.25, 0.5, 0.75, 1.0))}), by)
     return got.select(by, "n", *(F.col("q")[k].alias(name) for k, name in enumerate(("low", "p25", "median", "p75", "high")))).orderBy(F.desc("median"), by).limit(top_n)
 
 

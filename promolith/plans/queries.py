@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.build_states(_features(spark, sf_dir))
+    """Persisted, as most tables read them more than once."""
+    return prep.build_states(_features(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def features(spark, sf_dir):

