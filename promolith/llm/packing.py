@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,29 +60,28 @@ def windows(points: list[int], costs: list[float], size: int = SIZE, window_cost
             else:
                 exact[j].append(int(k[j]))
     best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])
-    base = [0.0] * n  # best + point, what the queue keeps ascending
-    base[0] = float(points[0])
-    first = 0  # of the queue
-    for j in range(1, n):
-        p = points[j]
-        while points[first] < p - size:
-            queue.popleft()
-            first = queue[0]
-        i = first
-        value = base[i] + size - p
-        if exact[j] is not None:
-            for k in exact[j]:
+    # the queue: points not out of reach yet whose best + place ascends; `head` is its first
+    index, value_at, place_at, head = [0], [float(points[0])], [points[0]], 0
+    for j, (p, cost, free_points) in enumerate(zip(points, costs, exact)):
+        if not j:
+            continue
+        while place_at[head] < p - size:
+            head += 1
+        i, value = index[head], value_at[head] + size - p
+        if free_points is not None:
+            for k in free_points:
                 if best[k] < value:
                     value, i = best[k], k
-        value += costs[j] + window_cost
+        value += cost + window_cost
         best[j], back[j] = value, i
         value += p
-        base[j] = value
-        while queue and base[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
-        first = queue[0]
+        while len(index) > head and value_at[-1] >= value:
+            index.pop()
+            value_at.pop()
+            place_at.pop()
+        index.append(j)
+        value_at.append(value)
+        place_at.append(p)
     out = [n - 1]
     while out[-1]:
         out.append(back[out[-1]])
@@ -122,15 +120,15 @@ def _ids_at(vocabulary: str) -> _Ids:
 
 def cut_points(length: int, ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Points inside one document of `length` ids and its end, with costs."""
-    ends = ends[(ends > 0) & (ends < length)]
-    bounds = np.concatenate([[0], ends, [length]])
-    gaps = np.diff(bounds)
-    extra = [np.arange(bounds[k] + grid, bounds[k + 1], grid) for k in np.flatnonzero(gaps > grid)]
-    inner = np.concatenate(extra) if extra else np.zeros(0, np.int64)
-    points = np.concatenate([ends, inner, [length]])
-    costs = np.concatenate([np.full(len(ends), SENTENCE_COST), np.full(len(inner), INNER_COST), [0.0]])
-    order = np.argsort(points, kind="stable")
-    return points[order], costs[order]
+    bounds = np.append(ends[(ends > 0) & (ends < length)], length).astype(np.int64)
+    gaps = np.diff(bounds, prepend=0)
+    n = (gaps - 1) // grid + 1  # of each bound: grid points before it, and itself
+    last = np.cumsum(n) - 1
+    step = np.arange(int(last[-1]) + 1) - np.repeat(last - n, n)  # 1 to n for each bound
+    points = np.repeat(bounds - gaps, n) + step * grid
+    costs = np.full(len(points), INNER_COST)
+    points[last], costs[last], costs[-1] = bounds, SENTENCE_COST, 0.0
+    return points, costs
 
 
 def pack_stream(docs: Iterator[tuple[int | None, np.ndarray, np.ndarray]], first_sequence: int = 0, size: int = SIZE, block: int = BLOCK) -> Iterator[tuple]:

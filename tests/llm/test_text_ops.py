@@ -310,6 +310,19 @@ def test_packing_cost_is_minimal():
         assert sum(cut(i, j) for i, j in zip(chosen, chosen[1:])) == best[-1]
 
 
+def test_cut_points():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        length = int(rng.integers(1, 120))
+        ends = np.unique(rng.integers(0, length + 2, rng.integers(0, 8)))
+        points, costs = packing.cut_points(length, ends, 16)
+        inside = [int(e) for e in ends if 0 < e < length]
+        want = {length: 0.0} | {e: packing.SENTENCE_COST for e in inside}
+        for lo, hi in zip([0, *inside], [*inside, length]):
+            want |= {at: packing.INNER_COST for at in range(lo + 16, hi, 16)}
+        assert dict(zip(points.tolist(), costs.tolist())) == want and points.tolist() == sorted(want)
+
+
 def test_sentence_ends(tok):
     table = packing._ids_at(bpe.default_vocabulary())
     text = "It is 3.14 at a.b.c now. Next one! Is it? yes\nline two. "
