@@ -36,7 +36,7 @@ HIDDEN, CLASSES, CLASS_SIZE = 16, 32, 32
 KNOWN = CLASSES * CLASS_SIZE  # tokens that the network tells apart, end included
 HOT_WORDS, HOT_BYTES = 1 << 17, 64  # bounds on the broadcast counts: words, and bytes of each
 TRAIN_DOCS, TRAIN_TOKENS = 600, 300_000  # bounds on what the driver starts the network from
-SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 2_000_000, 256, 0.005  # the pass over all training rows
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 2_000_000, 512, 0.007  # the pass over all training rows
 LANES, WINDOW, EPOCHS, RATE = 32, 32, 2, 0.01
 SCORE_LANES, SCORE_WINDOW, GROUP_TOKENS = 512, 32, 4_000_000
 COUNTED_AT_ONCE = 250_000
@@ -309,6 +309,7 @@ class Hot:
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
         self.words, self.counts = words, np.array(counts, np.int64)
         self.rank = {w: k for k, w in enumerate(words)}
+        self.known = {w: k for k, w in enumerate(words[:KNOWN])}
 
     def __getstate__(self):
         return self.words, self.counts
@@ -320,6 +321,11 @@ class Hot:
         get = self.rank.get
         return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
 
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """The network's tokens, END last."""
+        get = self.known.get
+        return np.array([*[get(w, OTHER) for w in words], 0], np.int32)
+
 
 def known_ids(ranks: np.ndarray) -> np.ndarray:
     """The network's tokens, END last."""
@@ -373,14 +379,14 @@ def _score(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBa
 def _sample(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
     hot = broadcast.value
     for ids, texts in common.columns(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([known_ids(hot.ranks(words_of(t))).tolist() for t in texts], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hot.tokens(words_of(t)) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
     hot = broadcast.value
     names = ["shard", "place", "doc_id", "tokens"]
     for shards, places, ids, texts in common.columns(batches):
-        tokens = [known_ids(hot.ranks(words_of(t))).astype("<u2").tobytes() for t in texts]
+        tokens = [hot.tokens(words_of(t)).astype("<u2").tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((shards, places, ids, tokens), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
 
