@@ -72,3 +72,102 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("source_product_id").cast("long") % 4 == 0, F.array("gtin")).otherwise(F.array().cast("array<string>")).alias("gtins"),
         F.array(F.struct(F.lit("lenta").alias("shop"), F.concat(F.lit("catalog "), "name_raw").alias("name"))).alias("aliases"),
     )
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table told by pages (url, html) of one shop, in one of five ways by its key.
+
+    In a data script (some products twice, some at another host), as JSON-LD, in
+    a flight payload, on a card, and at a price that is not lowered.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, now = F.col("p_partkey").cast("string"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    old = (F.col("p_retailprice") * 1.2).cast("decimal(12,2)").cast("string")
+    host = F.when(F.col("p_partkey") % 7 == 0, "https://other.example").otherwise("")
+    told = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    script = told(title=F.col("p_name"), link=F.concat(host, F.lit("/product/p-"), key, F.lit("/")), price=now, oldPrice=F.concat(old, F.lit(" ₽")), sku=key, brandName=F.col("p_brand"))
+    linked = F.concat(F.lit('{"@type": "Product", "name": "'), "p_name", F.lit('", "url": "/goods/'), key, F.lit('", "brand": {"name": "'), "p_brand", F.lit('"}, "offers": [{"price": "'), now, F.lit('", "highPrice": "'), old, F.lit('"}]}'))
+    flight = told(name=F.col("p_name"), url=F.concat(F.lit("/catalog/x/"), key), price=now, oldPrice=old, code=key)
+    same = told(title=F.col("p_name"), link=F.concat(F.lit("/product/"), key), price=now, oldPrice=now)
+    data = lambda body: F.concat(F.lit('<script id="__NEXT_DATA__">{"items": ['), body, F.lit("]}</script>"))
+    html = (
+        F.when(F.col("p_partkey") % 5 == 0, data(F.when(F.col("p_partkey") % 10 == 0, F.concat_ws(",", script, script)).otherwise(script)))
+        .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit('<script type="application/ld+json">'), linked, F.lit("</script>")))
+        .when(F.col("p_partkey") % 5 == 2, F.concat(F.lit('<script>self.__next_f.push([1,"3:'), F.replace(flight, F.lit('"'), F.lit('\\"')), F.lit('\\nrest"])</script>')))
+        .when(F.col("p_partkey") % 5 == 3, F.concat(
+            F.lit('<div class="catalog-item" data-product-id="'), key, F.lit('"><a class="catalog-item__name" href="/product/'), key, F.lit('/">'), "p_name",
+            F.lit('</a><span class="price-value__actual">'), now, F.lit(" ₽</span><del>"), old, F.lit(" ₽</del></div>"),
+        ))
+        .otherwise(data(same))
+    )
+    return part.select(F.concat(F.lit("https://www.holodilnik.ru/list/"), key).alias("url"), F.concat(F.lit("<html><title>Shop</title>"), html, F.lit("</html>")).alias("html"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table as pages with JSON-LD; every third key has none."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(
+        F.lit('[{"@type": "WebSite"}, {"@type": ["Thing", "schema:Product"], "name": "'), "p_name", F.lit('", "sku": "'), key, F.lit('", "gtin": ["x1", "4006381333931"], "color": "red", "brand": {"name": "'), "p_brand",
+        F.lit('"}, "category": ["a", {"name": "'), "p_type", F.lit('"}], "weight": {"value": '), F.col("p_size").cast("string"), F.lit(', "unitCode": "KGM"}, "offers": {"price": "'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit('"}}]'),
+    )
+    script = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))).otherwise("<p>none</p>")
+    return part.select(F.concat(F.lit("https://shop.example/p/"), key).alias("url"), script.alias("html"))
+
+
+def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and the part's price told in one of eight ways by its key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, cents = F.col("p_partkey"), (F.col("p_retailprice").cast("decimal(12,2)") * 100).cast("long")
+    whole, rest = F.floor(cents / 100).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
+    groups = F.replace(F.format_number(F.floor(cents / 100), 0), F.lit(","), F.lit("\u00a0"))
+    spaced = F.replace(groups, F.lit("\u00a0"), F.lit(" "))
+    ways = [
+        F.concat(groups, F.lit(","), rest, F.lit(" ₽")), F.concat(spaced, F.lit(" руб. "), rest, F.lit(" коп.")), F.concat(spaced, F.lit(" "), rest, F.lit(" ₽")), F.concat(spaced, F.lit(" ₽")),
+        F.concat(whole, F.lit(","), rest, F.lit(" руб -20%")), F.concat(whole, F.lit(" ₽ / 1 шт.")), F.lit("цена по запросу"), F.concat(whole, F.lit("."), F.substring(rest, 1, 1), F.lit(" р.")),
+    ]
+    return part.select(k.alias("k"), F.element_at(F.array(*ways), (k % 8 + 1).cast("int")).alias("text"))
+
+
+def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and the part's name in one of six spellings by its key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size").cast("string")
+    ways = [
+        F.concat(F.upper("p_name"), F.lit(" "), size, F.lit(" KG")), F.concat("p_name", F.lit(" "), size, F.lit(",5 л")), F.concat(F.lit("Акция "), "p_name", F.lit(" хит")),
+        F.concat(F.lit("Ёлка "), "p_name"), F.concat(F.lit("L’Café "), "p_name"), F.concat("p_name", F.lit(" X-"), size),
+    ]
+    return part.select(F.col("p_partkey").alias("k"), F.element_at(F.array(*ways), (F.col("p_partkey") % 6 + 1).cast("int")).alias("name"))
+
+
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog lines (value): ids that come twice, aliases of a hundred products, unknown fields."""
+    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    own = F.concat(F.lit("prod_"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string"))
+    alias = F.concat(F.lit("alias "), F.floor(k / 100).cast("string"))
+    fields = [own.alias("canonical_product_id"), F.concat(F.lit("item "), k.cast("string")).alias("canonical_name"), F.array(alias).alias("aliases")]
+    return part.select(F.to_json(F.when(k % 97 == 0, F.struct(*fields, F.lit("x").alias("extra"))).otherwise(F.struct(*fields, F.lit(None).cast("string").alias("extra")))).alias("value"))
+
+
+def broken_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw products, some of them broken."""
+    k = F.col("source_product_id").cast("long")
+    return raw_products(spark, sf_dir).withColumns({
+        "k": k, "shop": F.when(k % 11 == 0, "LENTA").otherwise(F.col("shop")), "source_url": F.when(k % 13 == 0, "ftp://shop.example").otherwise(F.col("source_url")),
+        "collected_at": F.when(k % 17 == 0, "2026-09-16T10:00:00").otherwise(F.col("collected_at")), "name_raw": F.when(k % 19 == 0, "  ").otherwise(F.col("name_raw")),
+        "source_id_is_stable": F.when(k % 23 != 0, F.lit(True)),
+    })
+
+
+def unlike_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw products without a GTIN, folded to one for each set of name words, brand, size and type: a catalog."""
+    from promolith.operators.identity import prepare
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    least = part.groupBy(words.alias("w"), "p_brand", "p_size", "p_type").agg(F.min("p_partkey").alias("k")).select(F.col("k").cast("string").alias("source_product_id"))
+    rows = prepare(raw_products(spark, sf_dir).join(least, "source_product_id", "left_semi"))
+    return rows.select(
+        F.concat(F.lit("prod_c"), "source_product_id").alias("canonical_product_id"), F.col("name_raw").alias("canonical_name"), "attributes", F.array().cast("array<string>").alias("gtins"),
+        F.array().cast("array<struct<shop:string,name:string>>").alias("aliases"),
+    )

@@ -144,7 +144,8 @@ FAKE = f"""{STATES},
             min(promotion_price) AS best, arg_min(discount_pct, (promotion_price, state_id)) AS d_best,
             bool_or(round_even(promotion_price * 100, 0) % 100 IN (90, 99) OR floor(promotion_price) % 100 = 99 OR floor(promotion_price) % 10 = 9) AS psych,
             coalesce(bool_or(og >= 5 AND abs(pg) <= 1), false) AS r1, coalesce(bool_or(pg >= 2), false) AS r2, coalesce(bool_or(og >= 5 AND pg >= 5 AND shift <= 1.5), false) AS r3,
-            max(CASE WHEN og >= 5 AND abs(pg) <= 1 THEN og END) AS g1, max(CASE WHEN pg >= 2 THEN pg END) AS g2
+            max(CASE WHEN og >= 5 AND abs(pg) <= 1 THEN og END) AS g1, max(CASE WHEN pg >= 2 THEN pg END) AS g2,
+            max(CASE WHEN og >= 5 AND pg >= 5 AND shift <= 1.5 THEN pg END) AS g3
         FROM steps GROUP BY {_PS}
     ),
     scored AS (
@@ -225,7 +226,8 @@ def _competitors(trusted: bool) -> str:
 
 
 _FAKE_OUT = f"""{_PS}, name, category, "group", n_price_states, n_episodes, price_first, price_last, {_rounded("d_last", 2)} AS discount_now, {_rounded("d_max", 2)} AS discount_max, suspicion_score, level, flags, notes,
-    {_rounded("g1", 2)} AS jump_growth_pct, {_rounded("g2", 2)} AS rise_growth_pct"""
+    {_rounded("g1", 2)} AS jump_growth_pct, {_rounded("g2", 2)} AS rise_growth_pct, {_rounded("g3", 2)} AS both_growth_pct, CASE WHEN r4 THEN {_rounded("d_max - d_min", 2)} END AS swing_pp,
+    CASE WHEN r4 THEN {_rounded("d_min", 2)} END AS discount_low, CASE WHEN r5 THEN best END AS best_price, CASE WHEN r5 THEN {_rounded("(price_last / best - 1) * 100", 2)} END AS overpay_pct"""
 
 _GTINS = """
     body AS (SELECT p_partkey AS k, lpad(CAST(p_partkey + 400000000000 AS VARCHAR), 12, '0') AS b FROM part),
@@ -236,6 +238,12 @@ _EVENTS = f"""{OBSERVATIONS},
     bad AS (
         SELECT *, sequence % 13 = 0 AS no_name, sequence % 17 = 0 AS no_zone, sequence % 7 = 0 OR round(original_price * 100) <= round(promotion_price * 100) AS no_discount, sequence % 11 = 0 AS no_status FROM obs)"""
 
+_STATUS = "CASE WHEN k % 10 < 6 THEN 'provisional' WHEN k % 10 < 8 THEN 'confirmed' ELSE 'auto_matched' END AS match_status"
+_SURE = _STATUS.replace("CASE WHEN", "CASE WHEN pid % 2 = 0 AND event_type <> 'view' THEN 'confirmed' WHEN", 1)
+_NOW, _OLD = "CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR)", "CAST(CAST(p_retailprice * 12e-1 AS DECIMAL(12, 2)) AS VARCHAR)"
+_CENTS = "cents AS (SELECT p_partkey AS k, CAST(CAST(p_retailprice AS DECIMAL(12, 2)) * 100 AS BIGINT) AS c FROM part)"
+_WORDS = "list_sort(list_distinct(string_split(lower(p_name), ' ')))"
+
 # name -> SQL; the columns are those of the query of the same name
 SQL: dict[str, str] = {
     "features": f"WITH {FEATURES} SELECT {_PS}, name, \"group\", category, {_rounded('discount_pct', 6)} AS discount_pct, day, weekday, sequence FROM feat",
@@ -289,6 +297,32 @@ SQL: dict[str, str] = {
         FROM bad WHERE no_name OR no_zone OR no_discount OR no_status""",
     "identity_gtin": "SELECT 'lenta:' || p_partkey AS source_key, 'prod_c' || p_partkey AS canonical_product_id, 'confirmed' AS status FROM part WHERE p_partkey % 4 = 0 AND p_partkey <= 400",
     "blocked_pages": """SELECT page_id, coalesce(regexp_matches(lower(html), 'checking your browser before accessing|verify you are human to continue|/cdn-cgi/challenge-platform/|id="challenge-form"|<title[^>]*>\\s*(access denied|forbidden|too many requests|service unavailable|captcha|robot check|browser check|just a moment|attention required)'), false) AS blocked FROM pages""",
+    "page_products": f"""SELECT 'holodilnik' AS shop, 'https://www.holodilnik.ru/' || CASE p_partkey % 5 WHEN 0 THEN 'product/p-' || p_partkey || '/' WHEN 1 THEN 'goods/' || p_partkey WHEN 2 THEN 'catalog/x/' || p_partkey ELSE 'product/' || p_partkey || '/' END AS source_url,
+            CAST(p_partkey AS VARCHAR) AS source_product_id, true AS source_id_is_stable, p_name AS name_raw, CASE WHEN p_partkey % 5 < 2 THEN p_brand ELSE '' END AS brand_raw,
+            {_NOW} || CASE WHEN p_partkey % 5 = 3 THEN ' ₽' ELSE '' END AS current_price_text, {_OLD} || CASE WHEN p_partkey % 5 IN (0, 3) THEN ' ₽' ELSE '' END AS old_price_text
+        FROM part WHERE p_partkey % 5 <> 4 AND NOT (p_partkey % 5 = 0 AND p_partkey % 7 = 0)""",
+    "linked_parts": f"""SELECT 'https://shop.example/p/' || p_partkey AS url, p_name AS name, '4006381333931' AS gtin, CAST(p_partkey AS VARCHAR) AS sku, '' AS model, 'red' AS variant, p_brand AS brand, 'a, ' || p_type AS category,
+            p_size || ' kg' AS package, {_NOW} AS price FROM part WHERE p_partkey % 3 > 0""",
+    "blocked_titles": "SELECT page_id, page_id % 6 <> 4 AS blocked FROM pages",
+    "trusted_shops": f"WITH {_competitors(True).replace(_STATUS, _SURE)} SELECT * FROM cmp",
+    "favorites_overall": _favorites().replace("PARTITION BY shop ORDER BY score", "ORDER BY score").replace("WINDOW w AS (PARTITION BY shop)", "WINDOW w AS ()"),
+    "load_promotions": f"WITH {PROMOTIONS} SELECT canonical_product_id, name, shop, date, original_price, promotion_price, match_status FROM latest WHERE {_LAST30}",
+    "raw_checks": """SELECT p_partkey AS k, concat_ws(',', CASE WHEN p_partkey % 17 = 0 THEN 'collected_at' END, CASE WHEN p_partkey % 19 = 0 THEN 'name_raw' END, CASE WHEN p_partkey % 11 = 0 THEN 'shop' END,
+            CASE WHEN p_partkey % 23 = 0 THEN 'source_id_is_stable' END, CASE WHEN p_partkey % 13 = 0 THEN 'source_url' END) AS errors FROM part""",
+    "gtin_counts": f"WITH {_GTINS} SELECT CASE WHEN raw IS NULL THEN 'missing' WHEN valid THEN 'valid' ELSE 'invalid' END AS status, count(*) AS n FROM gt GROUP BY ALL",
+    "price_formats": f"WITH {_CENTS} SELECT k, CASE k % 8 WHEN 3 THEN c // 100 * 100 WHEN 5 THEN c // 100 * 100 WHEN 6 THEN NULL WHEN 7 THEN c // 10 * 10 ELSE c END AS kopecks FROM cents",
+    "normalized_names": """SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN lower(p_name) || ' ' || p_size * 1000 || 'g' WHEN 1 THEN lower(p_name) || ' ' || (p_size * 1000 + 500) || 'ml' WHEN 2 THEN lower(p_name)
+            WHEN 3 THEN 'елка ' || lower(p_name) WHEN 4 THEN 'lcafe ' || lower(p_name) ELSE lower(p_name) || ' x' || p_size END AS name FROM part""",
+    "source_keys": """SELECT p_partkey AS k, 'lenta:' || CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey % 19 = 0 THEN '' ELSE lower(p_name) || ' ' || p_size || 'ml' END AS source_key FROM part""",
+    "catalog_issues": """WITH c AS (SELECT p_partkey AS k, 'prod_' || (p_partkey - CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END) AS id, p_partkey // 100 AS a FROM part), good AS (SELECT * FROM c WHERE k % 97 <> 0)
+        SELECT 'line' AS problem, 'unknown fields: extra' AS value FROM c WHERE k % 97 = 0
+        UNION ALL SELECT 'id', id FROM good GROUP BY id HAVING count(*) > 1
+        UNION ALL SELECT 'alias', '*:alias ' || a FROM good GROUP BY a HAVING count(DISTINCT id) > 1""",
+    "identity_match": f"""WITH least AS (SELECT *, {_WORDS} AS w FROM part)
+        SELECT 'lenta:' || p_partkey AS source_key, 'prod_c' || min(p_partkey) OVER (PARTITION BY w, p_brand, p_size, p_type) AS canonical_product_id, 'attribute_match' AS method, 1e0 AS score, 'auto_matched' AS status FROM least""",
+    "block_keys": f"""WITH named AS (SELECT 'lenta:' || p_partkey AS source_key, string_split(lower(p_name), ' ') || [p_size || 'ml'] AS t, lower(replace(p_brand, '#', '')) AS b, p_size FROM part)
+        SELECT source_key, concat_ws(',', 'name:' || array_to_string(list_sort(list_distinct(t)), ':'), CASE WHEN b <> '' AND p_size > 0 THEN 'brand_size:' || b || ':' || p_size || 'ml' END,
+            nullif(array_to_string(list_transform(list_sort(list_transform(list_filter(t, lambda x: length(x) >= 5), lambda x: {{'n': -length(x), 't': x}}))[1:3], lambda x: 'token:' || x.t), ','), '')) AS keys FROM named""",
     "api_summary": f"WITH {PROMOTIONS} SELECT count(*) AS observations, count(DISTINCT canonical_product_id) AS products, count(DISTINCT shop) AS shops, {_API} FROM latest WHERE {_LAST30}",
     "api_by_shop": f"WITH {PROMOTIONS} SELECT shop, count(*) AS observations, count(DISTINCT canonical_product_id) AS products, {_API} FROM latest WHERE {_LAST30} GROUP BY shop",
 }

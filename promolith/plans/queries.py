@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promolith.functions import text
 from promolith.operators import competitors, history, identity, pages, patterns, prep, report, scoring, shape
 from promolith.plans import adapter
-from promolith.sources import sink, tables
+from promolith.sources import catalog, sink, tables
 
 TIMES = ("date", "first_seen", "last_seen", "started_at", "ended_at")
 
@@ -48,8 +48,11 @@ def price_history_filter(spark, sf_dir):
 
 def fake_promos(spark, sf_dir):
     got = scoring.detect_fake_promos(_states(spark, sf_dir))
-    pct = lambda rule: F.get_json_object("evidence", f"$.{rule}.growth_pct").cast("double")
-    return got.withColumns({"jump_growth_pct": pct("old_price_jump"), "rise_growth_pct": pct("promo_price_rise")}).drop("evidence")
+    told = {
+        "jump_growth_pct": "old_price_jump.growth_pct", "rise_growth_pct": "promo_price_rise.growth_pct", "both_growth_pct": "both_prices_rise.promo_growth_pct", "swing_pp": "depth_swing.swing_pp",
+        "discount_low": "depth_swing.discount_min", "best_price": "worse_than_best.best_price", "overpay_pct": "worse_than_best.overpay_pct",
+    }
+    return got.withColumns({name: F.get_json_object("evidence", f"$.{path}").cast("double") for name, path in told.items()}).drop("evidence")
 
 
 def _heatmap(spark, sf_dir):
@@ -137,6 +140,43 @@ def linked_products(spark, sf_dir):
     return pages.linked_products(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def page_products(spark, sf_dir):
+    got = pages.unique_products(pages.shop_products(adapter.shop_pages(spark, sf_dir), "holodilnik", "2026-09-16T10:00:00+00:00"))
+    return got.select("shop", "source_url", "source_product_id", "source_id_is_stable", "name_raw", "brand_raw", "current_price_text", "old_price_text")
+
+
+def blocked_titles(spark, sf_dir):
+    """Every page under one of six titles by its number."""
+    titles = ("403 Forbidden", "Just a moment...", "  Access   Denied ", "Error 429", "Tea 503", "Доступ ограничен")
+    title = F.element_at(F.array(*map(F.lit, titles)), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", pages.is_blocked(F.concat(F.lit("<HTML><TITLE lang='x'>"), title, F.lit("</TITLE><p>text</p>"))).alias("blocked"))
+
+
+def _trusted_states(spark, sf_dir):
+    """Products of even number are confirmed in all shops but one."""
+    rows = adapter.observations(spark, sf_dir)
+    sure = (F.substring("canonical_product_id", 6, 2).cast("int") % 2 == 0) & (F.col("shop") != "magnit")
+    return prep.build_states(prep.add_features(prep.usable(rows.withColumn("match_status", F.when(sure, "confirmed").otherwise(F.col("match_status"))))))
+
+
+def load_promotions(spark, sf_dir):
+    end = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").cast("timestamp")).first()[0]
+    return _out(tables.load_promotions(adapter.promotions(spark, sf_dir), "sequence", end, 30))
+
+
+def raw_checks(spark, sf_dir):
+    checked = sink.check_raw(adapter.broken_products(spark, sf_dir))
+    return checked.select("k", F.array_join(F.array_sort("errors"), ",").alias("errors"))
+
+
+def identity_match(spark, sf_dir):
+    """Every part finds the catalog's product of its words, brand, size and type."""
+    rows = adapter.raw_products(spark, sf_dir).withColumn("gtin_raw", F.lit(None).cast("string"))
+    got = identity.resolve(rows, adapter.unlike_catalog(spark, sf_dir))
+    return got.select("source_key", "canonical_product_id", "method", F.round("score", 4).alias("score"), "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features": features,
     "keyword_group": lambda s, d: _features(s, d).select("name", "shop", "group", "category").distinct(),
@@ -185,6 +225,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_keys": block_keys,
     "blocked_pages": blocked_pages,
     "linked_products": linked_products,
+    "page_products": page_products,
+    "linked_parts": lambda s, d: pages.linked_products(adapter.linked_pages(s, d)),
+    "blocked_titles": blocked_titles,
+    "trusted_shops": lambda s, d: competitors.competitor_comparison(_trusted_states(s, d), trusted_only=True),
+    "favorites_overall": lambda s, d: patterns.favorite_products(_states(s, d), within_shop=False),
+    "load_promotions": load_promotions,
+    "raw_checks": raw_checks,
+    "gtin_counts": lambda s, d: _gtins(s, d).groupBy(text.gtin_status(F.col("gtin_raw")).alias("status")).agg(F.count(F.lit(1)).alias("n")),
+    "price_formats": lambda s, d: adapter.price_texts(s, d).select("k", text.price_kopecks(F.col("text")).alias("kopecks")),
+    "normalized_names": lambda s, d: adapter.name_texts(s, d).select("k", identity.normalized("name").alias("name")),
+    "source_keys": lambda s, d: adapter.broken_products(s, d).select("k", identity.source_key(F.col("shop"), F.col("source_product_id"), F.col("k") % 4 > 0, F.col("name_raw")).alias("source_key")),
+    "catalog_issues": lambda s, d: catalog.catalog_problems(catalog.parse_catalog(adapter.catalog_lines(s, d))),
+    "identity_match": identity_match,
     "api_summary": _api(tables.analytics_summary),
     "api_by_shop": _api(tables.analytics_by_shop),
 }

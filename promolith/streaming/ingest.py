@@ -47,14 +47,77 @@ def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str) -> St
     return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
-def normalize_stream(raw: DataFrame, catalog: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Resolve each micro-batch against the catalog snapshot, append events."""
+def read_state(spark: SparkSession, path: str, before: int) -> identity.State:
+    """The newest snapshot that a batch numbered below `before` has left."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [n for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_done"))]
+    numbers = [int(n.partition("=")[2]) for n in whole]
+    newest = max((n for n in numbers if n < before), default=None)
+    empty = identity.State.empty(spark)
+    if newest is None:
+        return empty
+    return identity.State(**{k: spark.read.schema(t.schema).parquet(f"{path}/version={newest}/{k}") for k, t in empty.tables().items()})
+
+
+def write_state(spark: SparkSession, state: identity.State, path: str, number: int) -> None:
+    """Write a snapshot; it counts once all of its tables are there."""
+    for k, table in state.tables().items():
+        table.write.mode("overwrite").parquet(f"{path}/version={number}/{k}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}/_done")
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+
+
+def normalize_batch(batch: DataFrame, catalog: DataFrame, out: str, number: int, state: str | None = None) -> None:
+    """Resolve one batch and write its events, and the next state if there is one.
+
+    A batch reads the snapshot before its own number and replaces its own
+    output, so running it again changes nothing.
+    """
+    spark = catalog.sparkSession
+    good = identity.promoted(batch.filter(F.size("errors") == 0).drop("errors"))
+    before = read_state(spark, state, number) if state else None
+    resolved = identity.resolve(good, catalog, state=before).persist()
+    try:
+        identity.events_of(resolved).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if state:
+            write_state(spark, identity.next_state(resolved, before), state, number)
+    finally:
+        resolved.unpersist()
+
+
+def normalize_stream(raw: DataFrame, catalog: DataFrame, out: str, checkpoint: str, state: str | None = None) -> StreamingQuery:
+    """Resolve each micro-batch against the catalog and the state, append events."""
+    return raw.writeStream.foreachBatch(lambda batch, number: normalize_batch(batch, catalog, out, number, state)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def run(batch: DataFrame, number: int) -> None:
-        good = batch.filter(F.size("errors") == 0).drop("errors")
-        identity.normalized_events(good, catalog).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def normalize_kafka(spark: SparkSession, servers: str, source: str, target: str, catalog: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """Raw products of one topic to normalised events of another, each under the key it came with.
+
+    Events of a batch are written before its offsets are committed: at least
+    once, and the table's key folds what comes twice.
+    """
+    stream = kafka_source(spark, servers, source).select("key", F.from_json("value", RAW).alias("r"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        keyed_events(batch, catalog, state, number).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", target).save()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
+def keyed_events(batch: DataFrame, catalog: DataFrame, state: str, number: int) -> DataFrame:
+    """key, value of the events of a batch (key, r); also leaves the next state."""
+    spark = catalog.sparkSession
+    rows = check_raw(batch.select("key", "r.*")).filter(F.size("errors") == 0).drop("errors")
+    before = read_state(spark, state, number)
+    resolved = identity.resolve(identity.promoted(rows.drop("key")), catalog, state=before).persist()
+    write_state(spark, identity.next_state(resolved, before), state, number)
+    keys = identity.prepare(rows).select("key", "source_key", "collected_at").dropDuplicates(["source_key", "collected_at"])
+    events = resolved.filter("status != 'quarantine'").dropDuplicates(["source_key", "collected_at", "old_kopecks", "current_kopecks"]).join(keys, ["source_key", "collected_at"])
+    body = identity.events_of(events.withColumn("collected_at", F.col("collected_at"))).columns
+    told = events.select("key", "canonical_product_id", F.col("canonical_name").alias("name"), "shop", F.col("collected_at").alias("date"), F.col("old_kopecks").alias("original_price_kopecks"), F.col("current_kopecks").alias("promotion_price_kopecks"), F.col("status").alias("match_status"))
+    return told.select("key", F.to_json(F.struct(*body)).alias("value"))
 
 
 def sink_stream(events: DataFrame, table: str, rejects: str, checkpoint: str) -> StreamingQuery:

@@ -200,3 +200,41 @@ def test_identity_over_a_whole_catalog(spark, sf_dir):
     told = lambda **kw: {(r.rid, r.c.canonical_product_id, r.c.score) for r in identity.match_candidates(rows, shelf, 10_000, **kw).select("rid", F.explode("candidates").alias("c")).filter("size(c.conflicts) = 0").collect()}
     plain = told()
     assert plain and told(other_brands=False) == plain
+
+
+def test_pending_cards_go_on(spark, shelf, tmp_path):
+    """Two batches with a state: cards keep id and time, learn a GTIN, conflicts stay in quarantine."""
+    code = "4006381333931"
+    one = [
+        product("Настольная лампа белая", 1, brand_raw="Lumo", collected_at="2026-09-16T10:00:00+00:00"), product("Кресло серое большое", 2, brand_raw="Sidi"),
+        product("Phone Acme X1 128 GB", 3, brand_raw="Acme", model_raw="X1", gtin_raw=None),
+    ]
+    first = identity.resolve(spark.createDataFrame(one, sink.RAW), shelf, state=identity.State.empty(spark))
+    state = identity.next_state(first, identity.State.empty(spark))
+    ingest.write_state(spark, state, str(tmp_path), 0)
+    state = ingest.read_state(spark, str(tmp_path), 1)
+    before = {r.source_key: r for r in first.collect()}
+    cards = {r.source_key: r for r in state.pending.collect()}
+    waiting = [k for k, r in before.items() if r.status in ("provisional", "review")]
+    assert set(cards) == set(waiting) and len(waiting) >= 2
+    assert {r.canonical_product_id for r in state.products.collect()} == {before[k].canonical_product_id for k in waiting}
+    lamp, chair = (next(k for k in before if k.endswith(f":{n}")) for n in (1, 2))
+    two = [
+        product("Настольная лампа белая", 1, brand_raw="Lumo", gtin_raw=code, collected_at="2026-09-17T10:00:00+00:00"), product("Кресло серое большое", 2, brand_raw="Other"),
+        product("Лампа настольная белая", 9, brand_raw="Lumo", shop="magnit"),
+    ]
+    second = {r.source_key: r for r in identity.resolve(spark.createDataFrame(two, sink.RAW), shelf, state=state).collect()}
+    r = second[lamp]
+    assert (r.method, r.status, r.score, r.canonical_product_id) == ("new_gtin", "provisional", 0.95, before[lamp].canonical_product_id)
+    assert (second[chair].status, second[chair].conflicts) == ("quarantine", ["brand"])
+    assert second["magnit:9"].status == "provisional"  # only confirmed products are candidates
+    later = identity.next_state(identity.resolve(spark.createDataFrame(two, sink.RAW), shelf, state=state), state)
+    ingest.write_state(spark, later, str(tmp_path), 1)
+    later = ingest.read_state(spark, str(tmp_path), 9)
+    kept = {r.canonical_product_id: r for r in later.products.collect()}
+    assert kept[before[lamp].canonical_product_id].gtins == ["0" + code] and kept[before[chair].canonical_product_id].status == "quarantine"
+    assert {r.source_key: r.created_at for r in later.pending.collect()}[lamp] == "2026-09-16T10:00:00+00:00"
+    three = [product("Кресло серое большое", 2, brand_raw="Sidi"), product("Настольная лампа белая", 5, brand_raw="Lumo", gtin_raw=code, shop="magnit")]
+    third = {r.source_key: r for r in identity.resolve(spark.createDataFrame(three, sink.RAW), shelf, state=later).collect()}
+    assert third[chair].conflicts == ["pending_quarantine"]
+    assert (third["magnit:5"].method, third["magnit:5"].status, third["magnit:5"].canonical_product_id) == ("gtin", "provisional", before[lamp].canonical_product_id)
