@@ -97,16 +97,17 @@ def parse_catalog(lines: DataFrame) -> DataFrame:
     """Lines (column `value`) as products of the catalog, with `error`.
 
     The id may be left out if there is exactly one GTIN.  Blank lines are no
-    lines.
+    lines.  Other columns of `lines` are kept.
     """
-    rows = lines.filter(F.trim("value") != "").select(_parsed("value").alias("p")).select("p.*")
+    rest = [c for c in lines.columns if c != "value"]
+    rows = lines.filter(F.trim("value") != "").select(*rest, _parsed("value").alias("p")).select(*rest, "p.*")
     gtins = F.array_sort(F.array_distinct(F.filter(F.transform("raw_gtins", gtin14), lambda g: g.isNotNull())))
     bad = F.exists("raw_gtins", lambda g: gtin14(g).isNull())
     made = F.when((F.size("gtins") == 1), make_id(F.concat(F.lit("gtin:"), F.get("gtins", F.lit(0)))))
     return (
         rows.withColumn("gtins", gtins).withColumn("canonical_product_id", F.coalesce("canonical_product_id", made))
         .withColumn("error", F.coalesce("error", F.when(bad, "invalid GTIN"), F.when(F.col("canonical_product_id").isNull(), "canonical_product_id or one valid GTIN is required")))
-        .select("canonical_product_id", "canonical_name", "attributes", "gtins", "aliases", "error")
+        .select(*rest, "canonical_product_id", "canonical_name", "attributes", "gtins", "aliases", "error")
     )
 
 
@@ -123,9 +124,14 @@ def catalog_problems(catalog: DataFrame) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog of a JSON-lines file; ValueError on the first problems."""
+    """The catalog of a JSON-lines file; ValueError on the first bad line, with its number, or the first problems."""
     parsed = parse_catalog(spark.read.text(path))
     found = catalog_problems(parsed).limit(5).collect()
+    if any(r[0] == "line" for r in found):
+        # only now are lines numbered, which takes a pass of its own
+        numbered = spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)), "value string, line long")
+        first = parse_catalog(numbered).filter("error is not null").agg(F.min_by(F.struct("line", "error"), "line").alias("r")).first().r
+        raise ValueError(f"invalid catalog: line {first.line}: {first.error}")
     if found:
         raise ValueError("invalid catalog: " + "; ".join(f"{r[0]}: {r[1]}" for r in found))
     return parsed.drop("error")

@@ -115,9 +115,8 @@ def keyed_events(batch: DataFrame, catalog: DataFrame, state: str, number: int)
     write_state(spark, identity.next_state(resolved, before), state, number)
     keys = identity.prepare(rows).select("key", "source_key", "collected_at").dropDuplicates(["source_key", "collected_at"])
     events = resolved.filter("status != 'quarantine'").dropDuplicates(["source_key", "collected_at", "old_kopecks", "current_kopecks"]).join(keys, ["source_key", "collected_at"])
-    body = identity.events_of(events.withColumn("collected_at", F.col("collected_at"))).columns
     told = events.select("key", "canonical_product_id", F.col("canonical_name").alias("name"), "shop", F.col("collected_at").alias("date"), F.col("old_kopecks").alias("original_price_kopecks"), F.col("current_kopecks").alias("promotion_price_kopecks"), F.col("status").alias("match_status"))
-    return told.select("key", F.to_json(F.struct(*body)).alias("value"))
+    return told.select("key", F.to_json(F.struct(*told.columns[1:])).alias("value"))
 
 
 def sink_stream(events: DataFrame, table: str, rejects: str, checkpoint: str) -> StreamingQuery:

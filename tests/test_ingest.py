@@ -204,7 +204,7 @@ def test_identity_over_a_whole_catalog(spark, sf_dir):
 
 def test_pending_cards_go_on(spark, shelf, tmp_path):
     """Two batches with a state: cards keep id and time, learn a GTIN, conflicts stay in quarantine."""
-    code = "4006381333931"
+    code = "96385074"
     one = [
         product("Настольная лампа белая", 1, brand_raw="Lumo", collected_at="2026-09-16T10:00:00+00:00"), product("Кресло серое большое", 2, brand_raw="Sidi"),
         product("Phone Acme X1 128 GB", 3, brand_raw="Acme", model_raw="X1", gtin_raw=None),
@@ -232,9 +232,43 @@ def test_pending_cards_go_on(spark, shelf, tmp_path):
     ingest.write_state(spark, later, str(tmp_path), 1)
     later = ingest.read_state(spark, str(tmp_path), 9)
     kept = {r.canonical_product_id: r for r in later.products.collect()}
-    assert kept[before[lamp].canonical_product_id].gtins == ["0" + code] and kept[before[chair].canonical_product_id].status == "quarantine"
+    assert kept[before[lamp].canonical_product_id].gtins == [code.zfill(14)] and kept[before[chair].canonical_product_id].status == "quarantine"
     assert {r.source_key: r.created_at for r in later.pending.collect()}[lamp] == "2026-09-16T10:00:00+00:00"
     three = [product("Кресло серое большое", 2, brand_raw="Sidi"), product("Настольная лампа белая", 5, brand_raw="Lumo", gtin_raw=code, shop="magnit")]
     third = {r.source_key: r for r in identity.resolve(spark.createDataFrame(three, sink.RAW), shelf, state=later).collect()}
     assert third[chair].conflicts == ["pending_quarantine"]
     assert (third["magnit:5"].method, third["magnit:5"].status, third["magnit:5"].canonical_product_id) == ("gtin", "provisional", before[lamp].canonical_product_id)
+
+
+def test_a_bad_line_is_told_with_its_number(spark, tmp_path):
+    path = tmp_path / "catalog.jsonl"
+    path.write_text('{"canonical_product_id": "prod_a", "canonical_name": "чай"}\n\n{"canonical_product_id": "prod_b", "canonical_name": "!!!"}\nnot json\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="line 3: "):
+        catalogs.read_catalog(spark, str(path))
+
+
+def test_counters(spark):
+    from promolith.streaming import metrics
+
+    rows = [("gtin", "confirmed", 1.0, []), ("gtin", "provisional", 1.0, []), ("quarantine", "quarantine", 0.0, ["brand", "brand"]), ("review", "review", 0.7, [])]
+    df = spark.createDataFrame(rows, "method string, status string, score double, conflicts array<string>")
+    assert {tuple(r) for r in metrics.match_counts(df).collect()} == {("gtin", "confirmed", 1), ("gtin", "provisional", 1), ("quarantine", "quarantine", 1), ("review", "review", 1)}
+    assert [tuple(r) for r in metrics.conflict_counts(df).collect()] == [("brand", 1)]
+    assert {r.method: (r["le_0"], r["le_0.8"], r["le_1"]) for r in metrics.score_buckets(df).collect()} == {"gtin": (0, 0, 2), "quarantine": (1, 1, 1), "review": (0, 1, 1)}
+    out, watch = metrics.observed(df)
+    out.write.format("noop").mode("overwrite").save()
+    assert (watch.get["normalized"], watch.get["gtin"], watch.get["conflicting"]) == (4, 2, 1)
+    codes = spark.createDataFrame([("4006381333931",), ("1",), (None,), ("",)], "gtin_raw string")
+    assert {r.status: r.n for r in metrics.gtin_counts(codes).collect()} == {"valid": 1, "invalid": 1, "missing": 2}
+
+
+def test_shop_cards():
+    """Descendant selectors, links that a price stands around, names by the link."""
+    told = lambda shop, html: [(p["source_url"], p["name_raw"], p["current_price_text"], p["old_price_text"]) for p in extract.products_from_html(html, shop, extract.SHOPS[shop][0], f"https://{extract.SHOPS[shop][0]}/", "t", extract.SHOPS[shop][1])]
+    mvideo = "<mvid-product-card><mvid-product-title><a href='/products/tv-1'>Big TV</a></mvid-product-title><mvid-sale-price>90 ₽</mvid-sale-price><s>100 ₽</s></mvid-product-card>"
+    assert told("mvideo", mvideo) == [("https://mvideo.ru/products/tv-1", "Big TV", "90 ₽", "100 ₽")]
+    magnit = "<div><p>нет</p><div><a href='/promo-product/7-tea'>x</a><h3>Tea leaf</h3><span class='price-current'>80 ₽</span><del>99 ₽</del></div></div>"
+    assert told("magnit", magnit) == [("https://magnit.ru/promo-product/7-tea", "Tea leaf", "80 ₽", "99 ₽")]
+    podruzhka = "<div class='product-card'><a href='/catalog/cream/9'>Soft cream</a><i class='price-current'>5 ₽</i><del class='x text-inherit'>6 ₽</del></div>"
+    assert told("podruzhka", podruzhka) == [("https://podrygka.ru/catalog/cream/9", "Soft cream", "5 ₽", "6 ₽")]
+    assert list(extract.select(extract.Page("<div id='a'><p class='b'><i data-k='xyz'>t</i></p></div><i>u</i>").root, "#a .b i[data-k*='y']"))[0]["inside"] == ["t"]
