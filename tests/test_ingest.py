@@ -203,41 +203,40 @@ def test_identity_over_a_whole_catalog(spark, sf_dir):
 
 
 def test_pending_cards_go_on(spark, shelf, tmp_path):
-    """Two batches with a state: cards keep id and time, learn a GTIN, conflicts stay in quarantine."""
-    code = "96385074"
-    one = [
-        product("Настольная лампа белая", 1, brand_raw="Lumo", collected_at="2026-09-16T10:00:00+00:00"), product("Кресло серое большое", 2, brand_raw="Sidi"),
-        product("Phone Acme X1 128 GB", 3, brand_raw="Acme", model_raw="X1", gtin_raw=None),
-    ]
-    first = identity.resolve(spark.createDataFrame(one, sink.RAW), shelf, state=identity.State.empty(spark))
-    state = identity.next_state(first, identity.State.empty(spark))
-    ingest.write_state(spark, state, str(tmp_path), 0)
-    state = ingest.read_state(spark, str(tmp_path), 1)
-    before = {r.source_key: r for r in first.collect()}
-    cards = {r.source_key: r for r in state.pending.collect()}
-    waiting = [k for k, r in before.items() if r.status in ("provisional", "review")]
-    assert set(cards) == set(waiting) and len(waiting) >= 2
-    assert {r.canonical_product_id for r in state.products.collect()} == {before[k].canonical_product_id for k in waiting}
-    lamp, chair = (next(k for k in before if k.endswith(f":{n}")) for n in (1, 2))
-    two = [
-        product("Настольная лампа белая", 1, brand_raw="Lumo", gtin_raw=code, collected_at="2026-09-17T10:00:00+00:00"), product("Кресло серое большое", 2, brand_raw="Other"),
-        product("Лампа настольная белая", 9, brand_raw="Lumo", shop="magnit"),
-    ]
-    second = {r.source_key: r for r in identity.resolve(spark.createDataFrame(two, sink.RAW), shelf, state=state).collect()}
-    r = second[lamp]
-    assert (r.method, r.status, r.score, r.canonical_product_id) == ("new_gtin", "provisional", 0.95, before[lamp].canonical_product_id)
-    assert (second[chair].status, second[chair].conflicts) == ("quarantine", ["brand"])
-    assert second["magnit:9"].status == "provisional"  # only confirmed products are candidates
-    later = identity.next_state(identity.resolve(spark.createDataFrame(two, sink.RAW), shelf, state=state), state)
-    ingest.write_state(spark, later, str(tmp_path), 1)
-    later = ingest.read_state(spark, str(tmp_path), 9)
-    kept = {r.canonical_product_id: r for r in later.products.collect()}
-    assert kept[before[lamp].canonical_product_id].gtins == [code.zfill(14)] and kept[before[chair].canonical_product_id].status == "quarantine"
-    assert {r.source_key: r.created_at for r in later.pending.collect()}[lamp] == "2026-09-16T10:00:00+00:00"
-    three = [product("Кресло серое большое", 2, brand_raw="Sidi"), product("Настольная лампа белая", 5, brand_raw="Lumo", gtin_raw=code, shop="magnit")]
-    third = {r.source_key: r for r in identity.resolve(spark.createDataFrame(three, sink.RAW), shelf, state=later).collect()}
-    assert third[chair].conflicts == ["pending_quarantine"]
-    assert (third["magnit:5"].method, third["magnit:5"].status, third["magnit:5"].canonical_product_id) == ("gtin", "provisional", before[lamp].canonical_product_id)
+    """A batch after others: cards keep id and time, learn a GTIN; conflicts go to quarantine and stay there."""
+    lamp, chair, desk, bowl = (product(n, k, brand_raw=b) for k, (n, b) in enumerate([("Настольная лампа белая", "Lumo"), ("Кресло серое большое", "Sidi"), ("Письменный стол дуб", "Sidi"), ("Миска глубокая синяя", "Lumo")], 1))
+    told = {r.source_key: r.attributes for r in identity.prepare(spark.createDataFrame([lamp, chair, desk, bowl], sink.RAW)).collect()}
+    cards = [("lenta:1", "prod_lamp", "provisional", []), ("lenta:2", "prod_chair", "review", []), ("lenta:3", "prod_desk", "quarantine", []), ("lenta:4", "prod_bowl", "provisional", ["00000073513537"])]
+    state = identity.State(
+        spark.createDataFrame([(i, told[k].name, told[k], codes, status) for k, i, status, codes in cards], identity.PRODUCT),
+        spark.createDataFrame([(k, i, status, [], [], "2026-09-01") for k, i, status, _ in cards[:3]], identity.PENDING),
+        spark.createDataFrame([("lenta:9", "prod_tea")], identity.SOURCES), spark.createDataFrame([], identity.GTINS),
+    )
+    rows = [lamp | {"gtin_raw": "96385074"}, chair | {"brand_raw": "Other"}, desk, bowl | {"gtin_raw": "73513537", "shop": "magnit"}, product("чай зеленый", 9)]
+    resolved = identity.resolve(spark.createDataFrame(rows, sink.RAW), shelf, state=state).persist()
+    got = {r.source_key: (r.method, r.status, r.score, r.canonical_product_id, r.conflicts) for r in resolved.collect()}
+    assert got["lenta:1"] == ("new_gtin", "provisional", 0.95, "prod_lamp", [])
+    assert got["lenta:2"] == ("quarantine", "quarantine", 0.0, "prod_chair", ["brand"])
+    assert got["lenta:3"] == ("quarantine", "quarantine", 0.0, "prod_desk", ["pending_quarantine"])
+    assert got["magnit:4"] == ("gtin", "provisional", 1.0, "prod_bowl", [])
+    assert got["lenta:9"] == ("source_id", "confirmed", 1.0, "prod_tea", [])
+    after = identity.next_state(resolved, state)
+    products = {r.canonical_product_id: (r.gtins, r.status) for r in after.products.collect()}
+    assert products == {"prod_lamp": (["00000096385074"], "provisional"), "prod_chair": ([], "quarantine"), "prod_desk": ([], "quarantine"), "prod_bowl": (["00000073513537"], "provisional")}
+    pending = {r.source_key: (r.product_id, r.status, r.created_at) for r in after.pending.collect()}
+    assert pending["lenta:1"] == ("prod_lamp", "provisional", "2026-09-01") and pending["magnit:4"] == ("prod_bowl", "provisional", rows[3]["collected_at"]) and len(pending) == 4
+    assert [tuple(r) for r in after.sources.collect()] == [("lenta:9", "prod_tea")]
+    resolved.unpersist()
+
+
+def test_state_snapshots(spark, tmp_path):
+    """The newest whole snapshot below a batch's number is read; a broken one does not count."""
+    rows = lambda i: spark.createDataFrame([(f"k{i}", f"p{i}")], identity.SOURCES)
+    for n in (0, 2):
+        ingest.write_state(spark, identity.State(*list(identity.State.empty(spark).tables().values())[:2], rows(n), spark.createDataFrame([], identity.GTINS)), str(tmp_path), n)
+    (tmp_path / "version=2" / "_done").unlink()
+    assert [r.source_key for r in ingest.read_state(spark, str(tmp_path), 9).sources.collect()] == ["k0"]
+    assert ingest.read_state(spark, str(tmp_path), 0).sources.count() == 0
 
 
 def test_a_bad_line_is_told_with_its_number(spark, tmp_path):
