@@ -295,7 +295,7 @@ SQL: dict[str, str] = {
     "sink_valid": f"WITH {_EVENTS} SELECT sequence, canonical_product_id, name, date_trunc('second', date) AS date, original_price, promotion_price FROM bad WHERE NOT (no_name OR no_zone OR no_discount OR no_status)",
     "sink_rejects": f"""WITH {_EVENTS} SELECT sequence, concat_ws(',', CASE WHEN no_zone THEN 'date_zone' END, CASE WHEN no_discount THEN 'discount' END, CASE WHEN no_status THEN 'match_status' END, CASE WHEN no_name THEN 'name_text' END) AS errors
         FROM bad WHERE no_name OR no_zone OR no_discount OR no_status""",
-    "identity_gtin": "SELECT 'lenta:' || p_partkey AS source_key, 'prod_c' || p_partkey AS canonical_product_id, 'confirmed' AS status FROM part WHERE p_partkey % 4 = 0 AND p_partkey <= 400",
+    "identity_gtin": "SELECT 'lenta:' || p_partkey AS source_key, 'prod_c' || p_partkey AS canonical_product_id, 'confirmed' AS status FROM part WHERE p_partkey % 4 = 0",
     "blocked_pages": """SELECT page_id, coalesce(regexp_matches(lower(html), 'checking your browser before accessing|verify you are human to continue|/cdn-cgi/challenge-platform/|id="challenge-form"|<title[^>]*>\\s*(access denied|forbidden|too many requests|service unavailable|captcha|robot check|browser check|just a moment|attention required)'), false) AS blocked FROM pages""",
     "page_products": f"""SELECT 'holodilnik' AS shop, 'https://www.holodilnik.ru/' || CASE p_partkey % 5 WHEN 0 THEN 'product/p-' || p_partkey || '/' WHEN 1 THEN 'goods/' || p_partkey WHEN 2 THEN 'catalog/x/' || p_partkey ELSE 'product/' || p_partkey || '/' END AS source_url,
             CAST(p_partkey AS VARCHAR) AS source_product_id, true AS source_id_is_stable, p_name AS name_raw, CASE WHEN p_partkey % 5 < 2 THEN p_brand ELSE '' END AS brand_raw,

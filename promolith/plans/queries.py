@@ -116,9 +116,8 @@ def identity_resolution(spark, sf_dir):
 
 
 def identity_gtin(spark, sf_dir):
-    """The rows that a catalog GTIN settles, the catalog being that of the oracle: keys up to 400."""
-    shelf = adapter.catalog(spark, sf_dir).filter("cast(substring(canonical_product_id, 7) as long) <= 400")
-    got = identity.resolve(adapter.raw_products(spark, sf_dir), shelf)
+    """The rows that a GTIN of the whole catalog settles."""
+    got = identity.resolve(adapter.raw_products(spark, sf_dir), adapter.catalog(spark, sf_dir))
     return got.filter("method = 'gtin'").select("source_key", "canonical_product_id", "status")
 
 
