@@ -92,16 +92,24 @@ class _Ids:
     """Ids of texts under a vocabulary, and where sentences end in them."""
 
     def __init__(self, vocabulary: str) -> None:
-        v = bpe.vocabulary_at(vocabulary)
-        self.encoder = bpe.Encoder(v)
+        import tiktoken
+
+        self.vocabulary = v = bpe.vocabulary_at(vocabulary)
+        ranks = {b: i for i, b in v.bytes_of.items() if i not in v.special.values()}
+        self.encoding = tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # tokens that end a line, that may end a sentence, and that start a new word
         flags = lambda test: np.array([test(v.bytes_of.get(i, b"")) for i in range(max(v.bytes_of) + 1)], bool)
         self.lines, self.marks, self.spaced = flags(lambda b: b"\n" in b), flags(lambda b: b[-1:] in (b".", b"!", b"?")), flags(lambda b: b[:1].isspace())
 
     def many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All ids of each text, and the sentence ends in them."""
-        for ids in self.encoder.encode_many(texts):
-            yield ids.astype("<u4"), self._sentence_ends(ids)
+        for text in texts:
+            parts = [
+                np.array([self.vocabulary.special[part]], np.uint32) if special else self.encoding.encode_to_numpy(part, disallowed_special=())
+                for special, part in bpe.segments(text, self.vocabulary)
+            ]
+            ids = np.concatenate(parts).astype("<u4", copy=False) if parts else np.zeros(0, "<u4")
+            yield ids, self._sentence_ends(ids)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return next(self.many([text]))
@@ -185,7 +193,7 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Rec
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
     def docs():
-        for ids, texts in common.columns(batches, 4096):
+        for ids, texts in common.columns(batches):
             for i, (tokens, cuts) in zip(ids, table.many(texts)):
                 yield i, np.append(tokens, np.uint32(END_ID)), cuts
 
