@@ -14,6 +14,20 @@ NAMES = (
 SHOPS = {"click": "lenta", "view": "magnit", "error": "podruzhka", "signup": "mvideo", "purchase": "holodilnik"}
 
 
+ROWS_A_TASK = 8192
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table, dealt by its key over tasks of about ROWS_A_TASK rows.
+
+    The file compresses so well that a million rows are one split, and what is
+    made of a row (pages, names, lines) is read in Python by one task then.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tasks = -(-rows.count() // ROWS_A_TASK)  # told by the file's footer
+    return rows.repartition(tasks, "p_partkey") if tasks > 1 else rows
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as price observations, with event_id as sequence."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -37,7 +51,7 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table read as raw products; even keys have a GTIN."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     key = F.col("p_partkey")
     body = F.lpad((key + 400_000_000_000).cast("string"), 12, "0")
     total = sum(((F.substring(body, i, 1).cast("int") * (3 if i % 2 == 0 else 1)) for i in range(1, 13)), F.lit(0))
@@ -80,7 +94,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     In a data script (some products twice, some at another host), as JSON-LD, in
     a flight payload, on a card, and at a price that is not lowered.
     """
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     key, now = F.col("p_partkey").cast("string"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     old = (F.col("p_retailprice") * 1.2).cast("decimal(12,2)").cast("string")
     host = F.when(F.col("p_partkey") % 7 == 0, "https://other.example").otherwise("")
@@ -105,7 +119,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table as pages with JSON-LD; every third key has none."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     key = F.col("p_partkey").cast("string")
     body = F.concat(
         F.lit('[{"@type": "WebSite"}, {"@type": ["Thing", "schema:Product"], "name": "'), "p_name", F.lit('", "sku": "'), key, F.lit('", "gtin": ["x1", "4006381333931"], "color": "red", "brand": {"name": "'), "p_brand",
@@ -117,7 +131,7 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k and the part's price told in one of eight ways by its key."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     k, cents = F.col("p_partkey"), (F.col("p_retailprice").cast("decimal(12,2)") * 100).cast("long")
     whole, rest = F.floor(cents / 100).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
     groups = F.replace(F.format_number(F.floor(cents / 100), 0), F.lit(","), F.lit("\u00a0"))
@@ -131,7 +145,7 @@ def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k and the part's name in one of six spellings by its key."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     size = F.col("p_size").cast("string")
     ways = [
         F.concat(F.upper("p_name"), F.lit(" "), size, F.lit(" KG")), F.concat("p_name", F.lit(" "), size, F.lit(",5 л")), F.concat(F.lit("Акция "), "p_name", F.lit(" хит")),
@@ -142,7 +156,7 @@ def name_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog lines (value): ids that come twice, aliases of a hundred products, unknown fields."""
-    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    part, k = parts(spark, sf_dir), F.col("p_partkey")
     own = F.concat(F.lit("prod_"), (k - F.when(k % 50 == 0, 1).otherwise(0)).cast("string"))
     alias = F.concat(F.lit("alias "), F.floor(k / 100).cast("string"))
     fields = [own.alias("canonical_product_id"), F.concat(F.lit("item "), k.cast("string")).alias("canonical_name"), F.array(alias).alias("aliases")]
@@ -163,10 +177,10 @@ def unlike_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw products without a GTIN, folded to one for each set of name words, brand, size and type: a catalog."""
     from promolith.operators.identity import prepare
 
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
     least = part.groupBy(words.alias("w"), "p_brand", "p_size", "p_type").agg(F.min("p_partkey").alias("k")).select(F.col("k").cast("string").alias("source_product_id"))
-    rows = prepare(raw_products(spark, sf_dir).join(least, "source_product_id", "left_semi"))
+    rows = prepare(raw_products(spark, sf_dir).join(least.hint("merge"), "source_product_id", "left_semi"))
     return rows.select(
         F.concat(F.lit("prod_c"), "source_product_id").alias("canonical_product_id"), F.col("name_raw").alias("canonical_name"), "attributes", F.array().cast("array<string>").alias("gtins"),
         F.array().cast("array<struct<shop:string,name:string>>").alias("aliases"),

@@ -271,3 +271,12 @@ def test_shop_cards():
     podruzhka = "<div class='product-card'><a href='/catalog/cream/9'>Soft cream</a><i class='price-current'>5 ₽</i><del class='x text-inherit'>6 ₽</del></div>"
     assert told("podruzhka", podruzhka) == [("https://podrygka.ru/catalog/cream/9", "Soft cream", "5 ₽", "6 ₽")]
     assert list(extract.select(extract.Page("<div id='a'><p class='b'><i data-k='xyz'>t</i></p></div><i>u</i>").root, "#a .b i[data-k*='y']"))[0]["inside"] == ["t"]
+
+
+def test_parts_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
+    from promolith.plans import adapter
+
+    whole = spark.read.parquet(f"{sf_dir}/part.parquet")
+    monkeypatch.setattr(adapter, "ROWS_A_TASK", whole.count() // 4)
+    dealt = adapter.parts(spark, sf_dir)
+    assert dealt.rdd.getNumPartitions() >= 4 and sorted(dealt.collect()) == sorted(whole.collect())
