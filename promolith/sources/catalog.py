@@ -111,16 +111,35 @@ def parse_catalog(lines: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _alias_keys(aliases: pd.Series) -> pd.Series:
+    return aliases.map(lambda xs: None if xs is None else [None if a["shop"] is None else f"{a['shop']}:{text.normalize_text(a['name'])}" for a in xs])
+
+
+MOST_AT_ONCE = 10_000  # copies of a bad line that one array tells
+
+
 def catalog_problems(catalog: DataFrame) -> DataFrame:
-    """problem, value: bad lines, repeated ids, aliases or GTINs of two products."""
-    from promolith.operators.identity import normalized
-
-    bad = catalog.filter("error is not null").select(F.lit("line").alias("problem"), F.col("error").alias("value"))
-    ids = catalog.filter("error is null").groupBy("canonical_product_id").count().filter("count > 1").select(F.lit("id"), "canonical_product_id")
-    alias = catalog.filter("error is null").select("canonical_product_id", F.explode("aliases").alias("a")).select("canonical_product_id", F.concat("a.shop", F.lit(":"), normalized("a.name")).alias("v"))
-    gtin = catalog.filter("error is null").select("canonical_product_id", F.explode("gtins").alias("v"))
-    shared = lambda df, what: df.groupBy("v").agg(F.count_distinct("canonical_product_id").alias("n")).filter("n > 1").select(F.lit(what), "v")
-    return bad.union(ids).union(shared(alias, "alias")).union(shared(gtin, "gtin"))
+    """problem, value: bad lines, repeated ids, aliases or GTINs of two products.
+
+    The catalog is read once: each product tells its id, aliases and GTINs, and
+    these are counted by product, then in all.
+    """
+    none = F.lit(None).cast("string")
+    entry = lambda problem, value, id_: F.struct(F.lit(problem).alias("problem"), value.alias("v"), id_.alias("id"))
+    own = F.col("canonical_product_id")
+    named = lambda problem, values: F.coalesce(F.transform(values, lambda v: entry(problem, v, own)), F.array().cast("array<struct<problem:string,v:string,id:string>>"))
+    told = F.when(F.col("error").isNotNull(), F.array(entry("line", F.col("error"), none))).otherwise(
+        F.concat(F.array(entry("id", own, none)), named("alias", F.col("__aliases")), named("gtin", F.col("gtins")))
+    )
+    each = catalog.withColumn("__aliases", _alias_keys("aliases")).select(F.explode(told).alias("e")).select("e.*")
+    counted = each.groupBy("problem", "v", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("problem", "v").agg(F.sum("n").alias("n"), F.count("id").alias("products"))
+    kept = counted.filter((F.col("problem") == "line") | (F.col("problem") == "id") & (F.col("n") > 1) | (F.col("products") > 1))
+    # a bad line is told as often as it comes
+    times = F.when(F.col("problem") == "line", F.col("n")).otherwise(F.lit(1))
+    heaps = kept.select("problem", "v", times.alias("n")).select("problem", "v", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / MOST_AT_ONCE).cast("long"))).alias("heap"))
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(MOST_AT_ONCE), F.col("n") - F.col("heap") * MOST_AT_ONCE).cast("long"))
+    return heaps.select("problem", F.col("v").alias("value"), F.explode(copies).alias("copy")).drop("copy")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -280,3 +280,13 @@ def test_parts_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(adapter, "ROWS_A_TASK", whole.count() // 4)
     dealt = adapter.parts(spark, sf_dir)
     assert dealt.rdd.getNumPartitions() >= 4 and sorted(dealt.collect()) == sorted(whole.collect())
+
+
+def test_catalog_problems_read_the_catalog_once(spark, monkeypatch):
+    from promolith.sources import catalog
+
+    monkeypatch.setattr(catalog, "MOST_AT_ONCE", 2)
+    lines = ["{"] * 5 + ['{"canonical_product_id": "prod_a", "canonical_name": "green tea", "aliases": ["x1"]}'] * 2 + ['{"canonical_product_id": "prod_b", "canonical_name": "black tea", "aliases": ["x1"]}']
+    found = catalog.catalog_problems(catalog.parse_catalog(spark.createDataFrame([(x,) for x in lines], "value string")))
+    assert sorted((r.problem, "" if r.problem == "line" else r.value) for r in found.collect()) == [("alias", "*:x1"), ("id", "prod_a"), *[("line", "")] * 5]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
