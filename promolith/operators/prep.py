@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +69,41 @@ def add_features(observations: DataFrame) -> DataFrame:
     )
 
 
-def _spans(rows: DataFrame) -> DataFrame:
-    """Each row with what came before it in its series.
+TOLD = ["date", "original_price", "promotion_price"]
+SPAN = [*SERIES, "__span"]
 
-    Rows are windowed within a span of days; a span's first row takes its
-    predecessor from a small table of the spans' last rows.
+
+def _spans(features: DataFrame, *more: str) -> DataFrame:
+    """Each row with the one before it in its series and span of days, persisted as all that follows reads it.
+
+    A span's first row has no predecessor here; `_seams` knows it.
     """
-    cut = rows.withColumn("__span", F.floor(F.unix_date(F.to_date("date")) / SPAN_DAYS))
-    w = Window.partitionBy(*SERIES, "__span").orderBy(*ORDER)
-    told = F.struct("date", "original_price", "promotion_price")
-    last = cut.groupBy(*SERIES, "__span").agg(F.max_by(told, F.struct(*ORDER)).alias("__last"))
-    before = last.select(*SERIES, "__span", F.lag("__last").over(Window.partitionBy(*SERIES).orderBy("__span")).alias("__before"))
-    return cut.withColumn("__prev", F.lag(told).over(w)).join(before, [*SERIES, "__span"]).withColumn("__prev", F.coalesce("__prev", "__before")).drop("__before")
+    cut = features.select(*SERIES, *ORDER, *more).withColumn("__span", F.floor(F.unix_date(F.to_date("date")) / SPAN_DAYS))
+    w = Window.partitionBy(*SPAN).orderBy(*ORDER)
+    return cut.withColumns({"__prev": F.lag(F.struct(*TOLD)).over(w), "__last": F.lead(F.lit(1)).over(w).isNull()}).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _seams(rows: DataFrame) -> DataFrame:
+    """One row for each span: its first row, and the last one of the span before it in the series."""
+    told = F.struct(*TOLD)
+    ends = rows.filter("__prev is null or __last").groupBy(*SPAN).agg(F.max(F.when(F.col("__prev").isNull(), told)).alias("__first"), F.max(F.when(F.col("__last"), told)).alias("__end"))
+    return ends.select(*SPAN, "__first", F.lag("__end").over(Window.partitionBy(*SERIES).orderBy("__span")).alias("__before"))
+
+
+def _lower_quartile(rows: DataFrame, seams: DataFrame) -> float:
+    gap = lambda now, before: (F.unix_micros(now) - F.unix_micros(before)).alias("gap")
+    gaps = rows.select(gap("date", "__prev.date")).unionByName(seams.select(gap("__first.date", "__before.date"))).filter("gap > 0")
+    quartile = exact_quantile(gaps, "gap", 0.25)
+    return 0.0 if quartile is None else quartile / 3.6e9
 
 
 def median_interval_hours(features: DataFrame) -> float:
     """The lower quartile of positive gaps within the series, in hours; 0 without any."""
-    gap = _spans(features).select((F.unix_micros("date") - F.unix_micros("__prev.date")).alias("gap")).filter("gap > 0")
-    quartile = exact_quantile(gap, "gap", 0.25)
-    return 0.0 if quartile is None else quartile / 3.6e9
+    rows = _spans(features)
+    try:
+        return _lower_quartile(rows, _seams(rows))
+    finally:
+        rows.unpersist()
 
 
 def gap_hours_for(interval_hours: float) -> float:
@@ -105,21 +122,29 @@ def build_states(features: DataFrame, gap_hours: float | None = None, interval_h
     changed price starts a new state.  Prices that return make a new state.
     episode_id and state_id count within the series, from 1.
     """
+    rows = _spans(features, "category", "group")  # clearing the cache frees it
+    seams = _seams(rows)
     if interval_hours is None:
-        interval_hours = median_interval_hours(features)
+        interval_hours = _lower_quartile(rows, seams)
     if gap_hours is None:
         gap_hours = gap_hours_for(interval_hours)
-    rows = _spans(features)
-    first = F.col("__prev").isNull()
-    episode = first | (hours_between(F.col("__prev.date"), F.col("date")) > gap_hours)
-    changed = (F.col("original_price") != F.col("__prev.original_price")) | (F.col("promotion_price") != F.col("__prev.promotion_price"))
-    flagged = rows.withColumns({"__e": F.coalesce(episode, F.lit(False)).cast("int")}).withColumn("__s", F.greatest("__e", F.coalesce(changed, F.lit(False)).cast("int")))
-    totals = flagged.groupBy(*SERIES, "__span").agg(F.sum("__e").alias("__es"), F.sum("__s").alias("__ss"))
+
+    def flags(before: str, now: str) -> dict[str, Column]:
+        """Whether an episode, and whether a state starts; no row before tells nothing."""
+        episode = F.coalesce(hours_between(F.col(f"{before}.date"), F.col(f"{now}date")) > gap_hours, F.lit(False))
+        changed = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"{before}.{c}") != F.col(f"{now}{c}"), F.lit(False)) for c in TOLD[1:]))
+        return {"__e": episode.cast("int"), "__s": (episode | changed).cast("int")}
+
+    flagged = rows.withColumns(flags("__prev", ""))
+    first = F.col("__before").isNull().cast("int")
+    starts = seams.withColumns(flags("__before", "__first.")).select(*SPAN, F.greatest("__e", first).alias("__e1"), F.greatest("__s", first).alias("__s1"))
+    totals = flagged.groupBy(*SPAN).agg(F.sum("__e").alias("__es"), F.sum("__s").alias("__ss")).join(starts, SPAN)
     ahead = Window.partitionBy(*SERIES).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*SERIES, "__span", F.coalesce(F.sum("__es").over(ahead), F.lit(0)).alias("__e0"), F.coalesce(F.sum("__ss").over(ahead), F.lit(0)).alias("__s0"))
-    run = Window.partitionBy(*SERIES, "__span").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sum_ahead = lambda c: F.coalesce(F.sum(F.col(f"__{c}s") + F.col(f"__{c}1")).over(ahead), F.lit(0)) + F.col(f"__{c}1")
+    offsets = totals.select(*SPAN, sum_ahead("e").alias("__e0"), sum_ahead("s").alias("__s0"))
+    run = Window.partitionBy(*SPAN).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = (
-        flagged.withColumns({"__er": F.sum("__e").over(run), "__sr": F.sum("__s").over(run)}).join(offsets, [*SERIES, "__span"])
+        flagged.drop("__prev", "__last").join(offsets, SPAN).withColumns({"__er": F.sum("__e").over(run), "__sr": F.sum("__s").over(run)})
         .withColumns({"episode_id": F.col("__er") + F.col("__e0"), "state_id": F.col("__sr") + F.col("__s0")})
     )
     order = F.struct(*ORDER)

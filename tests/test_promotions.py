@@ -1,6 +1,7 @@
 """Promotion operators on small frames with known results."""
 
 import json
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -220,3 +221,12 @@ def test_grouped_quantiles(spark):
             assert r.a == pytest.approx(np.quantile(groups[k], qs).tolist()) and r.b == pytest.approx([-np.median(groups[k])])
     whole = [v for vs in groups.values() for v in vs] + [1.0]
     assert grouped_quantiles(df, [], {"a": ("v", (0.5,))}).first().a == pytest.approx([np.median(whole)])
+
+
+def test_states_read_the_observations_once(spark, tmp_path):
+    """All passes but the first start from the persisted spans."""
+    rows = spark.sql("select 'p' canonical_product_id, 'n' name, 's' shop, timestamp'2024-01-01' + make_dt_interval(0, id) date, 10d + id % 3 original_price, 5d promotion_price, 'confirmed' match_status from range(40)")
+    rows.write.parquet(str(tmp_path / "rows"))
+    states = prep.build_states(prep.add_features(spark.read.parquet(str(tmp_path / "rows"))), gap_hours=5.0, interval_hours=1.0)
+    assert not re.search(r"(?<!InMemory)Relation \[", states._jdf.queryExecution().withCachedData().toString())
+    assert states.count() == 40
