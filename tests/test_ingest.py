@@ -273,6 +273,22 @@ def test_shop_cards():
     assert list(extract.select(extract.Page("<div id='a'><p class='b'><i data-k='xyz'>t</i></p></div><i>u</i>").root, "#a .b i[data-k*='y']"))[0]["inside"] == ["t"]
 
 
+def test_copies_in_the_catalog_are_scored_once_and_nothing_is_broadcast(spark):
+    """The least ids stand for products that say the same; sizes of files do not make a join a broadcast."""
+    row = lambda n, name: (n, "shop", "u", n, True, name, None, "", "", "acme", "", "", "10 ₽", "20 ₽", "t")
+    names = "k string, shop string, source_url string, source_product_id string, source_id_is_stable boolean, name_raw string, gtin_raw string, model_raw string, variant_raw string, brand_raw string, category_raw string, package_raw string, current_price_text string, old_price_text string, collected_at string"
+    raw = spark.createDataFrame([row(str(n), "copper kettle 3 l" if n < 8 else "copper kettle 5 l") for n in range(9)], names)
+    ready = identity.prepare(raw)
+    shelf = ready.select(F.concat(F.lit("prod_"), "k").alias("canonical_product_id"), F.col("name_raw").alias("canonical_name"), "attributes", F.array().cast("array<string>").alias("gtins"), F.array().cast("array<struct<shop:string,name:string>>").alias("aliases"))
+    asked = ready.select(F.col("k").alias("rid"), "attributes", F.lit(None).cast("string").alias("gtin"))
+    got = {r.rid: [c.canonical_product_id for c in r.candidates] for r in identity.match_candidates(asked, shelf, other_brands=False).collect()}
+    assert got == {str(n): ["prod_0", "prod_1", "prod_2"] for n in range(8)} | {"8": ["prod_8"]}
+    said = identity._alike(identity._catalog_view(shelf), 3, True).collect()
+    assert sorted(r.members for r in said) == [["prod_0", "prod_1", "prod_2"], ["prod_8"]]
+    plan = identity.resolve(raw, shelf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_parts_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
     from promolith.plans import adapter
 
