@@ -306,3 +306,39 @@ def test_catalog_problems_read_the_catalog_once(spark, monkeypatch):
     found = catalog.catalog_problems(catalog.parse_catalog(spark.createDataFrame([(x,) for x in lines], "value string")))
     assert sorted((r.problem, "" if r.problem == "line" else r.value) for r in found.collect()) == [("alias", "*:x1"), ("id", "prod_a"), *[("line", "")] * 5]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_rows_that_a_gtin_settles_alone(spark, sf_dir):
+    """The same rows as among all: conflicts, sources and aliases that disagree, learnt GTINs, codes that nobody has."""
+    items = [
+        {"canonical_product_id": "prod_phone", "canonical_name": "Acme Phone X1 128 GB", "brand": "Acme", "model": "X1", "gtins": ["4006381333931"], "aliases": [{"shop": "lenta", "name": "Acme phone"}]},
+        {"canonical_product_id": "prod_cream", "canonical_name": "Крем для лица ночной 50 мл", "brand": "Nivea", "aliases": ["Ночной крем"]},
+    ]
+    shelf = catalogs.parse_catalog(spark.createDataFrame([(x,) for x in lines(*items)], "value string")).drop("error")
+    code = {"gtin_raw": "4006381333931"}
+    rows = [
+        product("Acme Phone X1 128 GB", 1, **code), product("Acme Phone X1 128 GB", 2, **code, brand_raw="Other"), product("Acme Phone X1 256 GB", 3, **code), product("ночной крем", 4, **code), product("Acme phone", 5, **code), product("Acme phone", 6, shop="magnit", **code),
+        product("крем", 7, gtin_raw="96385074"), product("вещь", 8, gtin_raw="73513537"), product("Acme Phone X1 128 GB", 9), product("!!!", 10, **code), product("телефон", 11, gtin_raw="4006381333932"), product("телефон", 12, **code), product("Acme phone", 13),
+    ]
+    raw = spark.createDataFrame(rows, sink.RAW)
+    sources = spark.createDataFrame([("lenta:12", "prod_cream"), ("lenta:1", "prod_phone")], identity.SOURCES)
+    empty = identity.State.empty(spark)
+    state = identity.State(empty.products, empty.pending, sources, spark.createDataFrame([("00000096385074", "prod_cream")], identity.GTINS))
+    for known, want in (({}, {"1", "5", "6", "12"}), ({"sources": sources}, {"1", "5", "6"}), ({"state": state}, {"1", "5", "6", "7"})):
+        every = identity.resolve(raw, shelf, **known).filter("method = 'gtin'")
+        alone = identity.resolve(raw, shelf, **known, gtin_only=True)
+        assert alone.columns == every.columns and {r.source_key.split(":")[1] for r in alone.collect()} == want
+        assert sorted(map(str, alone.collect())) == sorted(map(str, every.collect()))
+
+
+def test_nothing_is_made_of_parts_before_they_are_dealt(spark, sf_dir, monkeypatch):
+    """Filters on what is made of a row stay above the shuffle, and texts are read in Python once."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(adapter, "ROWS_A_TASK", 16)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    settled = plan(entry.queries()["identity_gtin"](spark, sf_dir))
+    for told in (settled, plan(adapter.raw_products(spark, sf_dir).filter("gtin_raw is not null"))):
+        below = [part.split("Relation [")[0] for part in told.split("RepartitionByExpression")[1:]]
+        assert below and not any("Filter" in part or "Eval" in part for part in below)
+    assert settled.count("attributes_of(") == 2 and "InMemoryRelation" not in settled
